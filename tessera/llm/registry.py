@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard_join
+from tessera.llm import histogram_shards, jaccard_join
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
+    "op3_histogram_shards": histogram_shards.op3_histogram_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
