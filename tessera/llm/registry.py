@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import histogram_shards, jaccard_join
+from tessera.llm import histogram_shards, jaccard_join, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
     "op3_histogram_shards": histogram_shards.op3_histogram_shards,
+    "op5_warc_revisits": warc.op5_warc_revisits,
 }
 
 ORACLE_SQL: dict[str, str] = {}
