@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import histogram_shards, jaccard_join, warc
+from tessera.llm import decontaminate, histogram_shards, jaccard_join, packing, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
     "op3_histogram_shards": histogram_shards.op3_histogram_shards,
     "op5_warc_revisits": warc.op5_warc_revisits,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_benchmark_decontamination": decontaminate.OP7_SQL}
