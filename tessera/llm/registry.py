@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, histogram_shards, jaccard_join, packing, warc
+from tessera.llm import decontaminate, histogram_shards, jaccard_join, language, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -10,6 +10,9 @@ QUERIES = {
     "op5_warc_revisits": warc.op5_warc_revisits,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_language_id": language.op8_language_id,
+    "op9_quality": quality.op9_quality,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_benchmark_decontamination": decontaminate.OP7_SQL}
