@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "linear_score"
+
+
+def query(sql: str | None):
+    """Register a query under its function's name; ``sql`` is its oracle, or None where SQL cannot express it."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from tessera.plans import queries as _queries  # noqa: E402, F401  (fills the registry)
