@@ -42,7 +42,8 @@ class _Open:
         return max(0, ((self.lo ^ self.hi) & ((1 << 64) - 1)).bit_length() - _MORE_BITS)
 
 
-_COUNTS = (F.sum("size").alias("b"), F.count("*").alias("n"), F.min("k").alias("k_lo"), F.max("k").alias("k_hi"), F.min("d").alias("d_lo"), F.max("d").alias("d_hi"))
+def _counts():
+    return F.sum("size").alias("b"), F.count("*").alias("n"), F.min("k").alias("k_lo"), F.max("k").alias("k_hi"), F.min("d").alias("d_lo"), F.max("d").alias("d_hi")
 
 
 def find_splitters(rows: DataFrame, ranges: int, tolerance: float, shards: int) -> list[tuple[tuple[int, int], int]]:
@@ -62,14 +63,14 @@ def find_splitters(rows: DataFrame, ranges: int, tolerance: float, shards: int)
             if back is not None:
                 wanted = spark.createDataFrame([(p,) for p in {o.prefix for o in by_key.values()}], "q bigint")
                 counted = counted.join(F.broadcast(wanted), F.shiftright("p", back) == F.col("q"), "left_semi")
-            counted = sorted(counted.groupBy("p").agg(*_COUNTS).collect(), key=lambda r: r["p"])
+            counted = sorted(counted.groupBy("p").agg(*_counts()).collect(), key=lambda r: r["p"])
             for j, o in by_key.items():
                 own = [r for r in counted if back is None or r["p"] >> back == o.prefix]
                 after |= _step(j, o, own, lambda p, s=64 - bits: (p << s, _LOW), limit, found)
             back, bits = min(_MORE_BITS, 64 - bits), min(64, bits + _MORE_BITS)
         if by_id := {j: o for j, o in opened.items() if o.key is not None}:
             wanted = spark.createDataFrame(list({(o.key, o.lo, o.hi, o.shift) for o in by_id.values()}), "wk bigint, lo bigint, hi bigint, shift int")
-            counted = rows.join(F.broadcast(wanted), F.expr("k = wk and d between lo and hi")).groupBy("wk", "lo", F.expr("shiftright(d, shift)").alias("p")).agg(*_COUNTS).collect()
+            counted = rows.join(F.broadcast(wanted), F.expr("k = wk and d between lo and hi")).groupBy("wk", "lo", F.expr("shiftright(d, shift)").alias("p")).agg(*_counts()).collect()
             for j, o in by_id.items():
                 own = sorted((r for r in counted if (r["wk"], r["lo"]) == (o.key, o.lo)), key=lambda r: r["p"])
                 after |= _step(j, o, own, lambda p, o=o: (o.key, p << o.shift), limit, found)
