@@ -29,9 +29,9 @@ from tessera.runtime import Scratch, arrow_rows
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-BLOCK_PIECES = 1 << 15
+BLOCK_PIECES = 1 << 14
 #: Chunks whose ids a worker remembers at once; beyond it forgets them all and starts again.
-REMEMBERED = 1_200_000
+REMEMBERED = 2_000_000
 _IDS: dict[str, tuple] = {}
 
 
@@ -47,37 +47,70 @@ class Capacity:
 
 
 def _tokenizer(path: str):
-    """The tokenizer of a file and the ids of the chunks seen so far, kept for the worker's later tasks."""
+    """The tokenizer of a file, which of its ids end a word, and the ids of the chunks seen so far by this worker."""
     if path not in _IDS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _IDS[path] = Tokenizer.from_file(path), {}
+        tok = Tokenizer.from_file(path)
+        ends = np.zeros(max(tok.get_vocab().values()) + 1, bool)
+        ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        _IDS[path] = tok, ends, {}
     return _IDS[path]
 
 
-def _learn(path: str, lists: list[list[bytes]]) -> dict[bytes, bytes]:
-    """Little-endian ids of every chunk in the lists."""
-    tok, known = _tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = {w for ws in lists for w in ws if w not in known}
+def _encode(tok, ends: np.ndarray, chunks: list[bytes]):
+    """The ids of each chunk. Words of letters alone are encoded many at a time, as one text whose ids are cut at word ends."""
+    texts = [w.decode() for w in chunks]
+    plain = [t.isalpha() for t in texts]
+    together = [i for i, p in enumerate(plain) if p]
+    alone = [i for i, p in enumerate(plain) if not p]
+    out: list[bytes] = [b""] * len(chunks)
+    for lo in range(0, len(together), 1024):
+        part = together[lo : lo + 1024]
+        ids = np.array(tok.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+        at = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(at) != len(part):  # a letter fell apart when it was normalised
+            alone += part
+            continue
+        raw, a = ids.astype("<u4").tobytes(), 0
+        for i, b in zip(part, at, strict=True):
+            out[i], a = raw[a:b], b
+    if alone:
+        for i, e in zip(alone, tok.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+    return out
+
+
+def _learn(tok, ends: np.ndarray, known: dict[bytes, bytes], new: set[bytes]) -> None:
+    """Remember the little-endian ids of new chunks."""
     # a letter run and the one full stop or comma behind it are tokens of their own
-    cut = {w for w in new if len(w) > 1 and w[-1:] in (b".", b",") and w[:-1].isalpha()}
-    ask = list({w[:-1] for w in cut if w[:-1] not in known} | {w[-1:] for w in cut if w[-1:] not in known} | (new - cut))
-    for w, e in zip(ask, tok.encode_batch_fast([w.decode() for w in ask], add_special_tokens=False) if ask else (), strict=True):
-        known[w] = array("I", e.ids).tobytes()
-    for w in cut:
-        known[w] = known[w[:-1]] + known[w[-1:]]
-    return known
+    cut = {w for w in new if w[-1] in b".," and len(w) > 1 and w[:-1].isalpha()}
+    stems = {w: w[:-1] for w in cut}
+    ask = list({w for w in stems.values() if w not in known} | {p for p in (b".", b",") if cut and p not in known} | (new - cut))
+    known.update(zip(ask, _encode(tok, ends, ask), strict=True))
+    dot, comma = known.get(b"."), known.get(b",")
+    for w, stem in stems.items():
+        known[w] = known[stem] + (dot if w[-1] == 0x2E else comma)
 
 
 def token_bytes(texts: list[bytes | None], path: str):
     """Yield the ids of each text as little-endian unsigned 32-bit numbers."""
-    lists = [t.lower().split() if t else [] for t in texts]
-    known = _learn(path, lists)
-    for ws in lists:
-        yield b"".join([known[w] for w in ws])
+    tok, ends, known = _tokenizer(path)
+    if len(known) > REMEMBERED:
+        known.clear()
+    found, new = [], set()
+    for t in texts:
+        ws = t.lower().split() if t else []
+        ids = list(map(known.get, ws))
+        gaps = [(i, ws[i]) for i, x in enumerate(ids) if x is None] if None in ids else ()
+        new.update(w for _, w in gaps)
+        found.append((ids, gaps))
+    _learn(tok, ends, known, new)
+    for ids, gaps in found:
+        for i, w in gaps:
+            ids[i] = known[w]
+        yield b"".join(ids)
 
 
 def _pieces(path: str, most: int, end: int):
