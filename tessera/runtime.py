@@ -22,6 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, key: str, value: str):
+    """A session setting that holds while the body runs its jobs."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut and a lost executor costs no recomputation."""
 
@@ -34,7 +48,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        with session_conf(self.spark, _CLEANUP, "true"):  # nothing reads this job's shuffle files once the table stands
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -43,16 +58,9 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-@contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Rows in an Arrow batch while the body runs its jobs; wide rows need small batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return session_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
