@@ -46,10 +46,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """Write ``df`` and return the written table. ``release`` has Spark drop the shuffle files of finished jobs
+        soon: it does so once the driver's garbage collector has found them unreachable."""
         path = self.path(name)
         with session_conf(self.spark, _CLEANUP, "true"):  # nothing reads this job's shuffle files once the table stands
             df.write.mode("overwrite").parquet(path)
+        if release:
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
