@@ -440,6 +440,20 @@ def negative_sampling(spark, sf_dir):
     return decide.training_pairs(run.candidates, run.gold, 2)
 
 
+_LINE = "array_to_string(list_filter([case when trim({0}.business_name) <> '' then 'COL name VAL ' || trim({0}.business_name) end, case when trim({0}.business_address) <> '' then 'COL address VAL ' || trim({0}.business_address) end, case when trim({0}.country) <> '' then 'COL country VAL ' || trim({0}.country) end], lambda x: x is not null), ' ')"
+
+
+@query(
+    f"""{_CAND}, l as (select c.sid, c.eid, c.rank, cast(g.eid is not null as int) label from cand c left join gold g on c.sid = g.sid and c.eid = g.eid),
+    t as (select sid, eid, label from (select *, sum(label) over (partition by sid) pos, row_number() over (partition by sid, label order by rank) r from l) where label = 1 or r <= 5 * greatest(1, pos))
+    select sid, eid, {_LINE.format("s1")} "left", {_LINE.format("pool")} "right", label from t join s1 on sid = s1.entity_id join pool on eid = pool.entity_id"""
+)
+def scorer_pairs(spark, sf_dir):
+    """Training pairs of a text-pair scorer, without noise."""
+    run = Linkage(spark, sf_dir)
+    return models.scorer_pairs(decide.training_pairs(run.candidates, run.gold), run.s1, run.pool, augment_percent=0)
+
+
 _GRID = tuple(range(5, 95, 2))
 
 
