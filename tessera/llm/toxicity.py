@@ -23,7 +23,7 @@ _STRIP = "".join(c for c in map(chr, range(33, 128)) if not c.isalnum())
 #: The margin of what has no n-grams.
 _CLEAN = -10.0
 #: Words whose sums a worker remembers at once.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 @dataclass(frozen=True)
@@ -123,9 +123,16 @@ def fit(texts: list[bytes], labels: list[int], cfg: Settings = Settings()) -> Mo
         return Model(np.zeros(size), -5.0, cfg)
     rng = np.random.default_rng(cfg.seed)
     vocab: dict[bytes, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words(t)] or [vocab.setdefault(b"", len(vocab))]) for t in texts]
-    buckets, first = _grams(list(vocab), cfg)
-    counts = np.diff(first)
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words(t)] or [vocab.setdefault(b"", len(vocab))], np.int32) for t in texts]
+    names, buckets, counts = list(vocab), [], []
+    del vocab
+    for lo in range(0, len(names), 20_000):
+        own, at = _grams(names[lo : lo + 20_000], cfg)
+        buckets.append(own.astype(np.int32))
+        counts.append(np.diff(at))
+    del names
+    buckets, counts = np.concatenate(buckets), np.concatenate(counts)
+    first = np.concatenate(([0], np.cumsum(counts)))
     table = (rng.random((size, cfg.dim)) - 0.5) * 0.1
     layer = (rng.random((cfg.dim, 2)) - 0.5) * 0.5
     bias = np.zeros(2)
@@ -133,11 +140,12 @@ def fit(texts: list[bytes], labels: list[int], cfg: Settings = Settings()) -> Mo
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     flat = np.concatenate(docs)
     starts = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    per = counts[flat]
+    spans = [(lo, min(lo + 20_000, len(counts))) for lo in range(0, len(counts), 20_000)]
     for epoch in range(max(cfg.epochs, min(150, cfg.steps // len(docs)))):
         margin = table @ (layer[:, 1] - layer[:, 0])
-        total = np.concatenate(([0.0], np.cumsum(margin[buckets])))
-        sums = (total[first[1:]] - total[first[:-1]])[flat]
-        per = counts[flat]
+        per_word = np.concatenate([np.add.reduceat(np.append(margin[buckets[first[lo] : first[hi]]], 0.0), first[lo:hi] - first[lo]) for lo, hi in spans])
+        sums = np.where(counts > 0, per_word, 0.0)[flat]
         order = rng.permutation(len(docs))
         # the most toxic window of each document; of clean ones a few, and one at random
         picks = []
