@@ -19,7 +19,7 @@ from tessera.llm import labelled
 
 _STEP, _HALF = 4, 128  # bytes between filter positions, and in half a chunk
 #: Bytes that run through the network at once.
-_BATCH = 1 << 19
+_BATCH = 1 << 18
 
 
 @dataclass(frozen=True)
