@@ -31,7 +31,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 BLOCK_PIECES = 1 << 14
 #: Chunks whose ids a worker remembers at once; beyond it forgets them all and starts again.
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 _IDS: dict[str, tuple] = {}
 
 
