@@ -20,8 +20,8 @@ CAP, MAX_POSTING = 20, 100
 class Linkage:
     """Lazily built tables of one run. Records are normalised once and written, since every later stage reads them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, cap: int = CAP, max_posting: int = MAX_POSTING):
-        self.spark, self.sf_dir, self.cap, self.max_posting = spark, sf_dir, cap, max_posting
+    def __init__(self, spark: SparkSession, sf_dir: str, cap: int = CAP, max_posting: int = MAX_POSTING, fuzzy: bool = False):
+        self.spark, self.sf_dir, self.cap, self.max_posting, self.fuzzy = spark, sf_dir, cap, max_posting, fuzzy
         self.scratch = Scratch(spark, "linkage")
 
     @cached_property
@@ -66,6 +66,13 @@ class Linkage:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """``sid, eid, score`` by the fixed linear scorer without fuzzy features, as a probability."""
-        f = self.features()
+        """``sid, eid, score`` by the fixed linear scorer, as a probability; without ``fuzzy`` five of its fifteen features are 0."""
+        f = self.features(fuzzy=self.fuzzy)
         return self.scratch.table(f.select("sid", "eid", F.round(1 / (1 + F.exp(-FE.linear_score(f))), 6).alias("score")), "scored")
+
+
+class Full(Linkage):
+    """A run that scores with all fifteen weighted features; SQL cannot express five of them, so it has no oracle."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, cap: int = CAP, max_posting: int = MAX_POSTING):
+        super().__init__(spark, sf_dir, cap, max_posting, fuzzy=True)

@@ -10,8 +10,8 @@ from tessera.functions import similarity as S
 from tessera.functions import text as X
 from tessera.operators import blocking, decide, dense, graph, lsh, metrics, mining, models
 from tessera.plans import sql as Q
-from tessera.plans.linkage import CAP, MAX_POSTING, Linkage
-from tessera.plans.registry import query
+from tessera.plans.linkage import CAP, MAX_POSTING, Full, Linkage
+from tessera.plans.registry import full, query
 from tessera.sources import tsv
 
 _C = Q.candidates(CAP, MAX_POSTING)
@@ -246,9 +246,9 @@ def macro_ceiling(spark, sf_dir):
     e as (select s1.entity_id, coalesce(n_cand, 0) n_cand, coalesce(n_pred, 0) n_pred, coalesce(n_reached, 0) n_reached, coalesce(tp, 0) tp, coalesce(n_gold, 0) n_gold from s1 left join p on entity_id = p.sid left join h on entity_id = h.sid left join g on entity_id = g.sid)
     select count(*) n, round(avg({Q.f05("tp", "n_pred", "n_gold")}), 6) macro_f05, round(sum(n_reached) / sum(n_gold), 6) recall_ceiling, round(avg(n_cand), 6) mean_candidates, cast(sum(n_gold) as bigint) gold_links from e"""
 )
-def run_summary(spark, sf_dir):
+def run_summary(spark, sf_dir, linkage=Linkage):
     """Single-threshold evaluation of the fixed scorer, with the recall ceiling of its candidates."""
-    run = Linkage(spark, sf_dir)
+    run = linkage(spark, sf_dir)
     per = metrics.per_entity(run.entities, run.scored, run.gold, F.col("score") >= 0.5)
     more = metrics.per_entity(run.entities, run.scored, run.gold, F.lit(True)).select("sid", F.col("n_pred").alias("n_cand"), F.col("tp").alias("n_reached"))
     return metrics.summary(per.join(more, "sid"))
@@ -386,9 +386,9 @@ def feature_extended(spark, sf_dir):
 
 
 @query(f"{_SCORED} select * from scored")
-def linear_score(spark, sf_dir):
-    """Flagship: blocking, features and the fixed linear scorer, end to end."""
-    return Linkage(spark, sf_dir).scored
+def linear_score(spark, sf_dir, linkage=Linkage):
+    """Blocking, features and the fixed linear scorer, end to end; the flagship is its full form."""
+    return linkage(spark, sf_dir).scored
 
 
 _MODEL = tuple(f for f in FE.FEATURES if f != "jaro_winkler" and not f.startswith("rf_"))
@@ -415,7 +415,7 @@ def lr_score(spark, sf_dir):
 
 @query(None)
 def isotonic_calibration(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+    run = Full(spark, sf_dir)
     s = run.scored.join(run.gold.withColumn("label", F.lit(1.0)), ["sid", "eid"], "left").na.fill(0.0, ["label"])
     return models.calibrate(models.fit_isotonic(s), s).select("sid", "eid", "raw_score", "score")
 
@@ -430,8 +430,8 @@ def tabular_demo(spark, sf_dir):
 
 
 @query(f"{_SCORED} select sid, eid, score, r as rank from (select *, row_number() over (partition by sid order by score desc, eid) r, max(score) over (partition by sid) best from scored) where best between 0.2 and 0.8 and r <= 20")
-def uncertain_band(spark, sf_dir):
-    return decide.uncertain(Linkage(spark, sf_dir).scored)
+def uncertain_band(spark, sf_dir, linkage=Linkage):
+    return decide.uncertain(linkage(spark, sf_dir).scored)
 
 
 @query(f"{_CAND}, l as (select c.sid, c.eid, c.rank, cast(g.eid is not null as int) label from cand c left join gold g on c.sid = g.sid and c.eid = g.eid) select sid, eid, label from (select *, sum(label) over (partition by sid) pos, row_number() over (partition by sid, label order by rank) r from l) where label = 1 or r <= 2 * greatest(1, pos)")
@@ -462,8 +462,8 @@ _GRID = tuple(range(5, 95, 2))
     h as (select s.sid, t, count(*) n_pred, count(g.eid) tp from scored s join (select unnest(range(5, 95, 2)) t) on s.score * 100 >= t left join gold g on s.sid = g.sid and s.eid = g.eid group by s.sid, t)
     select cast(n.t as int) t, round(avg({Q.f05("coalesce(tp, 0)", "coalesce(n_pred, 0)", "n_gold")}), 6) macro_f05 from n left join h on n.sid = h.sid and n.t = h.t group by n.t"""
 )
-def threshold_sweep(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def threshold_sweep(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     return decide.threshold_sweep(run.entities, run.scored, run.gold, _GRID)
 
 
@@ -476,14 +476,14 @@ _TWO = f"""{_SCORED}, {Q.STATS}, grid as (select mt, st from (select unnest(rang
 
 
 @query(f"{_TWO} select * from two")
-def two_threshold_sweep(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def two_threshold_sweep(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     return decide.two_threshold_sweep(run.entities, run.scored, run.gold)
 
 
 @query(f"{_TWO} select * from two order by macro_f05 desc, mt, st limit 1")
-def best_thresholds(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def best_thresholds(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     return decide.best_of(decide.two_threshold_sweep(run.entities, run.scored, run.gold), "mt", "st")
 
 
@@ -491,22 +491,22 @@ _DECIDED = f"{_SCORED}, {Q.STATS}, dec as (select r.* from (select sid, eid, sco
 
 
 @query(f"{_DECIDED} select sid, eid, score, rank from dec")
-def decisions(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def decisions(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     return decide.decide(run.entities, run.scored, 50, 70)
 
 
 @query(f"{_SCORED} select sid, eid, case when r <= 3 and best between 0.2 and 0.8 then round(score * score, 6) else score end score from (select *, row_number() over (partition by sid order by score desc, eid) r, max(score) over (partition by sid) best from scored)")
-def score_merge(spark, sf_dir):
+def score_merge(spark, sf_dir, linkage=Linkage):
     """Scores of uncertain pairs replaced by those of a second scorer."""
-    run = Linkage(spark, sf_dir)
+    run = linkage(spark, sf_dir)
     second = decide.uncertain(run.scored, top_k=3).withColumn("score", F.round(F.col("score") * F.col("score"), 6))
     return decide.merge_scores(run.scored, second).select("sid", "eid", "score")
 
 
 @query(f"{_DECIDED} select sid, eid from dec")
-def closure_identity(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def closure_identity(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     return decide.closure(decide.decide(run.entities, run.scored, 50, 70))
 
 
@@ -530,20 +530,20 @@ def components(spark, sf_dir):
 @query(None)
 def closure_linked(spark, sf_dir):
     """Decisions closed over links between pool records."""
-    run = Linkage(spark, sf_dir)
+    run = Full(spark, sf_dir)
     d = decide.decide(run.entities, run.scored, 50, 70)
     return decide.closure(d.select("sid", "eid", "score"), _name_links(run))
 
 
 @query(f"{_DECIDED}, lists as (select sid, string_agg(eid, ',' order by rank, eid) ids from dec group by sid) select entity_id source1_entity_id, coalesce(ids, '') matched_entity_ids from s1 left join lists on entity_id = sid")
-def submission_rows(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def submission_rows(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     return tsv.result_rows(run.s1, decide.decide(run.entities, run.scored, 50, 70))
 
 
 @query("select unnest(['missing_record', 'repeated_record', 'repeated_match', 'self_match', 'unknown_match', 'match_outside_candidates']) as rule, cast(0 as bigint) n")
-def validator(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def validator(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     rows = tsv.result_rows(run.s1, decide.decide(run.entities, run.scored, 50, 70))
     return decide.violations(rows, run.s1, run.pool, run.candidates)
 
@@ -604,8 +604,8 @@ def singleton_rate(spark, sf_dir):
 
 
 @query(f"{_DECIDED} select count(distinct sid) n_matched, count(distinct case when country = 'France' then sid end) n_france from dec join p1 on sid = entity_id")
-def matched_counts(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def matched_counts(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     m = decide.decide(run.entities, run.scored, 50, 70).join(run.entities, "sid").groupBy("sid").agg(F.first("country").alias("country"))
     return m.agg(F.count("*").alias("n_matched"), F.count(F.when(F.col("country") == "France", 1)).alias("n_france"))
 
@@ -649,3 +649,9 @@ def ordered_distinct(spark, sf_dir):
     """Distinct values in the order of their first appearance."""
     first = _table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("at"))
     return first.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "role"))), lambda x: x.role), ">").alias("roles"))
+
+
+# --- the same with all features --------------------------------------------------------------------------------
+
+for _f in (linear_score, decisions, submission_rows, run_summary, threshold_sweep, two_threshold_sweep, best_thresholds, uncertain_band, score_merge, closure_identity, validator, matched_counts):
+    full(_f, Full)

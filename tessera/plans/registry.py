@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "linear_score"
+FLAGSHIP = "linear_score_full"
 
 
 def query(sql: str | None):
@@ -21,4 +22,9 @@ def query(sql: str | None):
     return add
 
 
+def full(f: Callable, linkage: Callable, **more) -> None:
+    """Register ``f`` over the runs that ``linkage`` makes, as ``<name>_full`` and without an oracle."""
+    QUERIES[f"{f.__name__}_full"] = partial(f, linkage=linkage, **more)
+
+
 from tessera.plans import queries as _queries  # noqa: E402, F401  (fills the registry)

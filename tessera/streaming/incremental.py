@@ -24,16 +24,17 @@ def normalised_stream(stream: DataFrame) -> DataFrame:
     return X.precompute(stream)
 
 
-def start_linkage(stream: DataFrame, pool_pre: DataFrame, idf: DataFrame, freq: DataFrame, out: str, checkpoint: str, threshold: float = 0.5, cap: int = blocking.CAP, max_posting: int = blocking.MAX_POSTING) -> StreamingQuery:
+def start_linkage(stream: DataFrame, pool_pre: DataFrame, idf: DataFrame, freq: DataFrame, out: str, checkpoint: str, threshold: float = 0.5, cap: int = blocking.CAP, max_posting: int = blocking.MAX_POSTING, fuzzy: bool = False) -> StreamingQuery:
     """Match every micro-batch against the pool and append ``sid, eid, score, batch`` to ``out``.
 
+    With ``fuzzy`` all fifteen features of the linear scorer count, otherwise five of them are 0.
     Each batch overwrites only its own partition, so a batch that is run again after a failure leaves no repeats.
     """
 
     def match(batch: DataFrame, number: int) -> None:
         pre = X.precompute(batch).persist()
         cands = blocking.candidates(pre, pool_pre, idf, cap, max_posting).select("sid", "eid")
-        f = FE.pair_features(cands, pre, pool_pre, idf, freq, fuzzy=False)
+        f = FE.pair_features(cands, pre, pool_pre, idf, freq, fuzzy=fuzzy)
         scored = f.select("sid", "eid", F.round(1 / (1 + F.exp(-FE.linear_score(f))), 6).alias("score")).where(F.col("score") >= threshold)
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
         pre.unpersist()
