@@ -72,7 +72,10 @@ class Linkage:
 
 
 class Full(Linkage):
-    """A run that scores with all fifteen weighted features; SQL cannot express five of them, so it has no oracle."""
+    """A run with the limits of full-size sources that scores with all fifteen weighted features.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, cap: int = CAP, max_posting: int = MAX_POSTING):
+    SQL cannot express five of them, and is too slow at these limits, so its queries have no oracle.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, cap: int = blocking.CAP, max_posting: int = blocking.MAX_POSTING):
         super().__init__(spark, sf_dir, cap, max_posting, fuzzy=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,9 +191,10 @@ def postings(spark, sf_dir):
 
 
 @query(f"with {Q.POSTINGS} select fld, count(*) n_tokens, max(n) longest, count(*) filter (fld = 'H' or n <= {MAX_POSTING}) n_used from stats group by fld")
-def posting_stats(spark, sf_dir):
-    stats = blocking.posting_stats(blocking.postings(Linkage(spark, sf_dir).pool_pre))
-    used = F.sum(F.when((F.col("fld") == "H") | (F.col("n") <= MAX_POSTING), 1).otherwise(0))
+def posting_stats(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
+    stats = blocking.posting_stats(blocking.postings(run.pool_pre))
+    used = F.sum(F.when((F.col("fld") == "H") | (F.col("n") <= run.max_posting), 1).otherwise(0))
     return stats.groupBy("fld").agg(F.count("*").alias("n_tokens"), F.max("n").alias("longest"), used.alias("n_used"))
 
 
@@ -201,19 +204,19 @@ def idf_table(spark, sf_dir):
 
 
 @query(f"{_CAND} select * from cand")
-def idf_overlap_candidates(spark, sf_dir):
-    return Linkage(spark, sf_dir).candidates.select("sid", "eid", "score", "rank", "capped")
+def idf_overlap_candidates(spark, sf_dir, linkage=Linkage):
+    return linkage(spark, sf_dir).candidates.select("sid", "eid", "score", "rank", "capped")
 
 
 @query(f"with {Q.POSTINGS}, {Q.candidates(CAP, MAX_POSTING, True)} select sid, eid, score, rank from cand")
-def uniform_candidates(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
-    return blocking.candidates(run.s1_pre, run.pool_pre, None, CAP, MAX_POSTING).select("sid", "eid", "score", "rank")
+def uniform_candidates(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
+    return blocking.candidates(run.s1_pre, run.pool_pre, None, run.cap, run.max_posting).select("sid", "eid", "score", "rank")
 
 
 @query(f"{_CAND} select count(*) n, round(avg(cast(capped as int)), 6) capped_rate, round(avg(n), 6) mean_candidates from (select sid, bool_or(capped) capped, count(*) n from cand group by sid)")
-def capped_rate(spark, sf_dir):
-    per = Linkage(spark, sf_dir).candidates.groupBy("sid").agg(F.bool_or("capped").alias("capped"), F.count("*").alias("n"))
+def capped_rate(spark, sf_dir, linkage=Linkage):
+    per = linkage(spark, sf_dir).candidates.groupBy("sid").agg(F.bool_or("capped").alias("capped"), F.count("*").alias("n"))
     return per.agg(F.count("*").alias("n"), F.round(F.avg(F.col("capped").cast("int")), 6).alias("capped_rate"), F.round(F.avg("n"), 6).alias("mean_candidates")).select("n", "capped_rate", "mean_candidates")
 
 
@@ -221,21 +224,21 @@ _RECALL = "select k, round(avg(h / n), 6) recall from (select g.sid, k, count(*)
 
 
 @query(f"{_CAND} {_RECALL}")
-def candidate_recall_at_k(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
-    return metrics.recall_at_k(run.candidates, run.gold, (1, 5, 10, 20))
+def candidate_recall_at_k(spark, sf_dir, linkage=Linkage, ks=(1, 5, 10, 20)):
+    run = linkage(spark, sf_dir)
+    return metrics.recall_at_k(run.candidates, run.gold, ks)
 
 
 @query(f"{_CAND}, r as ({_RECALL}) select recall, case when recall >= 0.93 then 'proceed' when recall >= 0.88 then 'marginal' else 'change' end gate from r where k = 20")
-def recall_gate(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
-    r = metrics.recall_at_k(run.candidates, run.gold, (20,))
+def recall_gate(spark, sf_dir, linkage=Linkage, k=20):
+    run = linkage(spark, sf_dir)
+    r = metrics.recall_at_k(run.candidates, run.gold, (k,))
     return r.select("recall", metrics.gate(F.col("recall")).alias("gate"))
 
 
 @query(f"{_CAND}, e as (select s1.entity_id sid, (select count(*) from gold g where g.sid = s1.entity_id) n_gold, (select count(*) from gold g join cand c on g.sid = c.sid and g.eid = c.eid where g.sid = s1.entity_id) tp from s1) select count(*) n, round(avg({Q.f05('tp', 'tp', 'n_gold')}), 6) macro_ceiling from e")
-def macro_ceiling(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def macro_ceiling(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     return metrics.macro_ceiling(run.entities, run.candidates, run.gold)
 
 
@@ -299,9 +302,9 @@ def knn_truncated(spark, sf_dir):
     return dense.knn(_queries_of(_vectors(spark, sf_dir, "sid", 32)), _vectors(spark, sf_dir, "eid", 32), 5)
 
 
-def _lists(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
-    uniform = blocking.candidates(run.s1_pre, run.pool_pre, None, CAP, MAX_POSTING)
+def _lists(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
+    uniform = blocking.candidates(run.s1_pre, run.pool_pre, None, run.cap, run.max_posting)
     return run, run.candidates, uniform
 
 
@@ -314,15 +317,15 @@ _MERGED = "select sid, eid, row_number() over (partition by sid order by src, po
 
 
 @query(f"{_UNION}, u as (select sid, eid, 0 src, rank pos from cand union all select sid, eid, 1, rank from uni) {_MERGED}")
-def hybrid_union(spark, sf_dir):
-    run, a, b = _lists(spark, sf_dir)
+def hybrid_union(spark, sf_dir, linkage=Linkage):
+    run, a, b = _lists(spark, sf_dir, linkage)
     return blocking.union_candidates(a, b, pool=run.pool)
 
 
 @query(f"{_UNION}, u as (select sid, eid, 0 src, rank pos from cand union all select sid, eid, 1, rank from uni union all select sid, eid, 2, rank from j) select * from ({_MERGED}) where rank <= 30")
-def triple_union(spark, sf_dir):
-    run, a, b = _lists(spark, sf_dir)
-    return blocking.union_candidates(a, b, lsh.exact_join(*_shingled(spark, sf_dir), 0.4), max_k=30, pool=run.pool)
+def triple_union(spark, sf_dir, linkage=Linkage, max_k=30):
+    run, a, b = _lists(spark, sf_dir, linkage)
+    return blocking.union_candidates(a, b, lsh.exact_join(*_shingled(spark, sf_dir), 0.4), max_k=max_k, pool=run.pool)
 
 
 def _hash_sql(src, key):
@@ -351,9 +354,9 @@ def name_freq(spark, sf_dir):
 
 
 @query(f"{_CAND}, {Q.FEATURES} select sid, eid, {', '.join(f'round({f}, 6) {f}' for f in _SQL_FEATURES)} from feat")
-def pair_features(spark, sf_dir):
+def pair_features(spark, sf_dir, linkage=Linkage):
     """All features that need no Python."""
-    return Linkage(spark, sf_dir).features().select("sid", "eid", *[F.round(f, 6).alias(f) for f in _SQL_FEATURES])
+    return linkage(spark, sf_dir).features().select("sid", "eid", *[F.round(f, 6).alias(f) for f in _SQL_FEATURES])
 
 
 # DuckDB compares bytes: letters that folding keeps beyond ASCII become single bytes first
@@ -371,7 +374,7 @@ def feature_jaro_winkler(spark, sf_dir):
 @query(None)
 def feature_fuzzy(spark, sf_dir):
     """All seventeen features."""
-    return Linkage(spark, sf_dir).features(fuzzy=True)
+    return Full(spark, sf_dir).features(fuzzy=True)
 
 
 _COS = "cosine as (select sid, eid, round(1.0 / rank, 6) cosine from cand where rank <= 5)"
@@ -435,8 +438,8 @@ def uncertain_band(spark, sf_dir, linkage=Linkage):
 
 
 @query(f"{_CAND}, l as (select c.sid, c.eid, c.rank, cast(g.eid is not null as int) label from cand c left join gold g on c.sid = g.sid and c.eid = g.eid) select sid, eid, label from (select *, sum(label) over (partition by sid) pos, row_number() over (partition by sid, label order by rank) r from l) where label = 1 or r <= 2 * greatest(1, pos)")
-def negative_sampling(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def negative_sampling(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     return decide.training_pairs(run.candidates, run.gold, 2)
 
 
@@ -448,9 +451,9 @@ _LINE = "array_to_string(list_filter([case when trim({0}.business_name) <> '' th
     t as (select sid, eid, label from (select *, sum(label) over (partition by sid) pos, row_number() over (partition by sid, label order by rank) r from l) where label = 1 or r <= 5 * greatest(1, pos))
     select sid, eid, {_LINE.format("s1")} "left", {_LINE.format("pool")} "right", label from t join s1 on sid = s1.entity_id join pool on eid = pool.entity_id"""
 )
-def scorer_pairs(spark, sf_dir):
+def scorer_pairs(spark, sf_dir, linkage=Linkage):
     """Training pairs of a text-pair scorer, without noise."""
-    run = Linkage(spark, sf_dir)
+    run = linkage(spark, sf_dir)
     return models.scorer_pairs(decide.training_pairs(run.candidates, run.gold), run.s1, run.pool, augment_percent=0)
 
 
@@ -632,8 +635,8 @@ def class_report(spark, sf_dir):
 
 
 @query(f"{_CAND} select cast(count(g.eid) as bigint) n_pos, count(*) - count(g.eid) n_neg, round((count(*) - count(g.eid)) / greatest(1, count(g.eid)), 6) scale_pos_weight from cand c left join gold g on c.sid = g.sid and c.eid = g.eid")
-def class_balance(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
+def class_balance(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
     return metrics.class_balance(run.candidates.join(run.gold.withColumn("label", F.lit(1)), ["sid", "eid"], "left").na.fill(0, ["label"]), "label")
 
 
@@ -651,7 +654,13 @@ def ordered_distinct(spark, sf_dir):
     return first.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "role"))), lambda x: x.role), ">").alias("roles"))
 
 
-# --- the same with all features --------------------------------------------------------------------------------
+# --- the same with all features, at the limits of full-size sources --------------------------------------------
 
 for _f in (linear_score, decisions, submission_rows, run_summary, threshold_sweep, two_threshold_sweep, best_thresholds, uncertain_band, score_merge, closure_identity, validator, matched_counts):
     full(_f, Full)
+for _f in (idf_overlap_candidates, uniform_candidates, posting_stats, capped_rate, macro_ceiling, hybrid_union, pair_features, negative_sampling, scorer_pairs, class_balance):
+    full(_f, Full)
+full(triple_union, Full, max_k=500)
+# recall at 200 needs 200 candidates
+full(candidate_recall_at_k, partial(Full, cap=200), ks=(25, 50, 100, 200))
+full(recall_gate, partial(Full, cap=200), k=200)

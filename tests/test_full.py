@@ -7,7 +7,9 @@ import pytest
 from tessera.functions import features as FE
 from tessera.functions import lexicon as L
 from tessera.functions import similarity as S
+from tessera.operators import blocking
 from tessera.plans import registry
+from tessera.plans import sql as Q
 from tessera.plans.linkage import Full
 from tessera.streaming import incremental
 
@@ -56,3 +58,19 @@ def test_micro_batches_equal_the_full_run(spark, run, tmp_path):
     q.awaitTermination(600)
     pairs = lambda df: {(r["sid"], r["eid"], r["score"]) for r in df.collect()}
     assert pairs(spark.read.parquet(str(tmp_path / "out"))) == pairs(run.scored.where("score >= 0.5"))
+
+
+def test_full_limits(spark, sf, duck):
+    rows = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+    want = duck.execute(f"with {Q.POSTINGS}, {Q.candidates(blocking.CAP, blocking.MAX_POSTING)} select sid, eid, rank from cand").fetchall()
+    assert rows(registry.QUERIES["idf_overlap_candidates_full"](spark, sf), "sid", "eid", "rank") == sorted(want)
+    found = dict(rows(registry.QUERIES["candidate_recall_at_k_full"](spark, sf), "k", "recall"))
+    assert list(found) == [25, 50, 100, 200]
+    reach = duck.execute(f"with {Q.POSTINGS}, {Q.candidates(200, 2000)}, g as (select sid, avg(cast(c.eid is not null as int)) r from gold left join cand c using (sid, eid) group by sid) select avg(r) from g").fetchone()[0]
+    gate = registry.QUERIES["recall_gate_full"](spark, sf).first()
+    assert found[200] == gate["recall"] == pytest.approx(reach, abs=1e-6) and gate["gate"] == "proceed"
+
+
+def test_triple_union_full_reaches_beyond_thirty(spark):
+    ranks = {r["rank"] for r in registry.QUERIES["triple_union_full"](spark, SMALL).select("rank").distinct().collect()}
+    assert 30 < max(ranks) <= 500
