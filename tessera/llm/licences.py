@@ -1,6 +1,8 @@
 """Licence scan: normalised passages compared with licence templates by Dice coefficient over word bigrams.
 
-A text's passages are its lines, its paragraphs (what blank lines separate) and the whole text. Two bigram sets of
+A text's passages are its lines, its paragraphs (what blank lines separate) and the whole text. Notices that fill no
+passage, in the midst of a line or over several paragraphs of a longer text, are found as runs of consecutive words: of
+every template, runs are extended from each bigram that it shares, as long as they can still match. Two bigram sets of
 sizes a and b can reach the coefficient t only if b lies between a*t/(2-t) and a*(2-t)/t, so templates, sorted by
 size, are pruned by size before any bigram is compared; passages beyond the largest template's reach are not even
 cut into bigrams. Shared bigrams are then counted for the remaining templates.
@@ -8,14 +10,15 @@ cut into bigrams. Shared bigrams are then counted for the remaining templates.
 
 from __future__ import annotations
 
+import heapq
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.decontaminate import words
+from tessera.llm.decontaminate import _WORDS, words
 
 #: Least Dice coefficient of a match, in percent.
 PERCENT = 85
@@ -91,7 +94,7 @@ class Templates:
     def __init__(self, templates=TEMPLATES, percent: int = PERCENT):
         sets = sorted(((len(b), name, b) for name, text in templates if (b := bigrams(words(text.encode())))), key=lambda x: (x[0], x[1], sorted(x[2])))
         self.percent = percent
-        self.sizes, self.names = [s for s, _, _ in sets], [n for _, n, _ in sets]
+        self.sizes, self.names, self.sets = [s for s, _, _ in sets], [n for _, n, _ in sets], [b for _, _, b in sets]
         self.of: dict[tuple[bytes, bytes], list[int]] = {}
         for i, (_, _, b) in enumerate(sets):
             for g in b:
@@ -146,12 +149,89 @@ class Templates:
             look("text", 0, len(text))
         return out
 
+    def runs(self, text: bytes | None, passages=()) -> list[tuple[str, int, int, str, float]]:
+        """(kind, first byte, end, licence, coefficient) of the runs of consecutive words that match, wherever lines end.
+
+        The best run comes first, ties to the shorter, the earlier and the first licence by name; then the best of those
+        that share no word with it, and so on. A run is left out where one of ``passages`` (of ``scan``) says the same: if its
+        coefficient is as high and at least half of the run's shared bigrams lie in it and in a template of its licence.
+        """
+        if not text:
+            return []
+        w = words(text)
+        gs = list(zip(w, w[1:], strict=False))
+        at: dict[int, list[int]] = {}
+        for i, g in enumerate(gs):
+            if g in self.every:
+                for t in self.of[g]:
+                    at.setdefault(t, []).append(i)
+        heap = []
+        for t, starts in at.items():
+            # shared bigrams that a match needs at least: those of a run without any others
+            if len(starts) * (200 - self.percent) >= self.percent * self.sizes[t] and len({gs[i] for i in starts}) * (200 - self.percent) >= self.percent * self.sizes[t]:
+                heap += [x for i in starts if (x := self._run(gs, t, i, len(gs)))]
+        if not heap:
+            return []
+        heapq.heapify(heap)
+        chosen: list[tuple[int, int, int, float]] = []
+        while heap:
+            d, _, i, _, t, j = heapq.heappop(heap)
+            k = bisect_left(chosen, (i,))
+            if (k and i <= chosen[k - 1][1] + 1) or (k < len(chosen) and chosen[k][0] == i):
+                continue
+            if k < len(chosen) and j + 1 >= chosen[k][0]:
+                if x := self._run(gs, t, i, chosen[k][0] - 1):
+                    heapq.heappush(heap, x)
+                continue
+            insort(chosen, (i, j, t, -d))
+        spans = [m.span() for m in re.finditer(rb"[^\t-\r ]+", text.translate(_WORDS))]
+        begins = [a for a, _ in spans]
+        said = []
+        for _, a, b, name, d in passages:
+            own = set().union(*(g for n, g in zip(self.names, self.sets, strict=True) if n == name))
+            said.append((bisect_left(begins, a), bisect_left(begins, b) - 1, own, d))
+        out = []
+        for i, j, t, d in chosen:
+            hits = [x for x in range(i, j + 1) if gs[x] in self.sets[t]]
+            if not any(e >= d and 2 * sum(a <= x < b and gs[x] in own for x in hits) >= len(hits) for a, b, own, e in said):
+                out.append(("run", spans[i][0], spans[j + 1][1], self.names[t], d))
+        return out
+
+    def matches(self, text: bytes | None) -> list[tuple[str, int, int, str, float]]:
+        """The passages that match, and the runs that they do not tell of."""
+        found = self.scan(text)
+        return found + self.runs(text, found)
+
+    def _run(self, gs, t: int, i: int, limit: int) -> tuple[float, int, int, str, int, int] | None:
+        """The best run of template ``t`` from bigram ``i`` on that ends before bigram ``limit``, as (-coefficient, length, i, licence, t, end).
+
+        It ends where its first bigram comes again: without the first, the run would have the same bigrams.
+        """
+        own, size, p = self.sets[t], self.sizes[t], self.percent
+        first, seen, k, best = gs[i], set(), 0, None
+        most = size * (200 - 2 * p) // p
+        for j in range(i, limit):
+            g = gs[j]
+            if g in seen:
+                if g == first:
+                    break
+                continue
+            seen.add(g)
+            if g in own:
+                k += 1
+                n = len(seen)
+                if 200 * k >= p * (n + size) and (best is None or -2 * k / (n + size) < best[0]):
+                    best = (-2 * k / (n + size), j - i, i, self.names[t], t, j)
+            elif len(seen) - k > most:
+                break
+        return best
+
 
 def _scanner(templates, percent):
     def run(batches):
         t = Templates(templates, percent)
         for batch in batches:
-            found = [t.scan(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [t.matches(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             rows = [[{"kind": k, "start": a, "end": b, "licence": n, "dice": d} for k, a, b, n, d in f] for f in found]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("licence", pa.string()), ("dice", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "matches"])
@@ -160,7 +240,7 @@ def _scanner(templates, percent):
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, matches`` per row of ``docs``: passages (byte spans) whose coefficient reaches ``percent`` / 100.
+    """``doc_id, matches`` per row of ``docs``: passages and runs of words (byte spans) whose coefficient reaches ``percent`` / 100.
 
     Null and empty texts, and passages of one word, match nothing. Ids may be null or repeat; other columns are
     ignored; no rows give no rows.
@@ -178,6 +258,7 @@ def op4_licence_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """Passages only: equal to the query where no notice is a run inside a passage, as in the tables of sf0.01."""
     lit = lambda s: "'" + s.replace("'", "''") + "'"
     w = lambda e: f"regexp_extract_all(translate({e}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     grams = lambda e: f"list_distinct(list_transform(range(1, len({e})), lambda i: {e}[i] || ' ' || {e}[i + 1]))"
