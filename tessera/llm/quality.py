@@ -38,6 +38,11 @@ class Model:
     cfg: Settings
     w: dict[str, np.ndarray] = field(default_factory=dict)
 
+    @staticmethod
+    def padded(text: bytes | None) -> int:
+        """Bytes that a text takes in ``blocks``."""
+        return ((len(text or b"") + _STEP) // _HALF + 1) * _HALF
+
     def blocks(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All bytes, every text padded by zeros to whole half chunks; the first half of each text; its length."""
         sizes = np.array([len(t or b"") for t in texts])
@@ -79,8 +84,8 @@ class Model:
         lo = 0
         while lo < len(texts):
             to, size = lo, 0
-            while to < len(texts) and (to == lo or size + len(texts[to] or b"") <= _BATCH):
-                size += len(texts[to] or b"")
+            while to < len(texts) and (to == lo or size + self.padded(texts[to]) <= _BATCH):
+                size += self.padded(texts[to])
                 to += 1
             out[lo:to] = self._logits(texts[lo:to])
             lo = to
@@ -97,10 +102,11 @@ class Model:
         return [(a, min(a + step, int(first[-1]))) for a in range(0, int(first[-1]), step)]
 
     def _pool_part(self, data, first, part):
-        """Pooled filters of some half chunks of one very long text, the next block's bytes being looked at."""
+        """Pooled filters of some half chunks of very long texts, the next block's bytes being looked at within a text."""
         a, b = part
         piece = np.concatenate((data[a * _HALF : b * _HALF], data[b * _HALF : b * _HALF + _HALF], np.zeros(0 if (b + 1) * _HALF <= len(data) else _HALF, np.uint8)))
-        return self.pooled(piece, np.array([0, len(piece) // _HALF]))[0][: b - a]
+        ends = first[(first > a) & (first <= b)] - a
+        return self.pooled(piece, np.concatenate(([0], ends, [len(piece) // _HALF])))[0][: b - a]
 
     def dense(self, z: np.ndarray, fill: np.ndarray):
         w = self.w

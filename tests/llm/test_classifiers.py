@@ -103,6 +103,18 @@ def test_network_equals_slow_definition(monkeypatch):
     assert np.allclose(model.logits(texts), want, atol=1e-3)
 
 
+def test_many_short_texts_are_scored_apart(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(1, 256, int(n), dtype=np.uint8)) for n in rng.integers(1, 60, 60)]
+    model = quality.fit(texts[:20], [i % 2 for i in range(20)], quality.Settings(epochs=1))
+    model.w["bias"][:] = -0.5
+    model.w["right"][:] *= 20
+    alone = [float(model.logits([t])[0]) for t in texts]
+    monkeypatch.setattr(quality, "_BATCH", 512)
+    assert np.allclose(model.logits(texts), alone, atol=1e-4)
+    assert np.allclose(model._logits(texts), alone, atol=1e-4)  # in parts, as for texts beyond two batches
+
+
 def test_quality_edges(spark, edges):
     model = quality.fit([b"fine words here " * 20, b"$$$ &&& " * 40] * 10, [1, 0] * 10, quality.Settings(epochs=4))
     got = quality.quality(edges, model).collect()
