@@ -397,23 +397,23 @@ def linear_score(spark, sf_dir, linkage=Linkage):
 _MODEL = tuple(f for f in FE.FEATURES if f != "jaro_winkler" and not f.startswith("rf_"))
 
 
-def _training(spark, sf_dir):
-    run = Linkage(spark, sf_dir)
-    f = run.features().join(run.gold.withColumn("label", F.lit(1)), ["sid", "eid"], "left").na.fill(0, ["label"])
+def _training(spark, sf_dir, linkage=Linkage):
+    run = linkage(spark, sf_dir)
+    f = run.features(fuzzy=run.fuzzy).join(run.gold.withColumn("label", F.lit(1)), ["sid", "eid"], "left").na.fill(0, ["label"])
     return run, run.scratch.table(f.withColumn("train", decide.in_training_part(F.col("sid"))), "training")
 
 
 @query(None)
-def gbt_score(spark, sf_dir):
-    _, f = _training(spark, sf_dir)
-    model = models.fit_gbt(f.where("train"), _MODEL, rounds=10, depth=5)
-    return models.score(model, f.where("not train"), _MODEL).select("sid", "eid", "label", "score")
+def gbt_score(spark, sf_dir, linkage=Linkage, used=_MODEL, **more):
+    _, f = _training(spark, sf_dir, linkage)
+    model = models.fit_gbt(f.where("train"), used, **(more or {"rounds": 10, "depth": 5}))
+    return models.score(model, f.where("not train"), used).select("sid", "eid", "label", "score")
 
 
 @query(None)
-def lr_score(spark, sf_dir):
-    _, f = _training(spark, sf_dir)
-    return models.score(models.fit_lr(f.where("train"), _MODEL), f.where("not train"), _MODEL).select("sid", "eid", "label", "score")
+def lr_score(spark, sf_dir, linkage=Linkage, used=_MODEL):
+    _, f = _training(spark, sf_dir, linkage)
+    return models.score(models.fit_lr(f.where("train"), used), f.where("not train"), used).select("sid", "eid", "label", "score")
 
 
 @query(None)
@@ -664,3 +664,5 @@ full(triple_union, Full, max_k=500)
 # recall at 200 needs 200 candidates
 full(candidate_recall_at_k, partial(Full, cap=200), ks=(25, 50, 100, 200))
 full(recall_gate, partial(Full, cap=200), k=200)
+full(gbt_score, Full, used=FE.FEATURES, rounds=500, depth=6)
+full(lr_score, Full, used=FE.FEATURES)

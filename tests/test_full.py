@@ -74,3 +74,11 @@ def test_full_limits(spark, sf, duck):
 def test_triple_union_full_reaches_beyond_thirty(spark):
     ranks = {r["rank"] for r in registry.QUERIES["triple_union_full"](spark, SMALL).select("rank").distinct().collect()}
     assert 30 < max(ranks) <= 500
+
+
+def test_full_models_use_all_features_and_rounds(spark):
+    gbt, lr = registry.QUERIES["gbt_score_full"], registry.QUERIES["lr_score_full"]
+    assert gbt.keywords["used"] == lr.keywords["used"] == FE.FEATURES and (gbt.keywords["rounds"], gbt.keywords["depth"]) == (500, 6)
+    for rows in (lr(spark, SMALL).collect(), gbt(spark, SMALL, rounds=2, depth=3).collect()):
+        score = {k: [r["score"] for r in rows if r["label"] == k] for k in (0, 1)}
+        assert sum(score[1]) / len(score[1]) > sum(score[0]) / len(score[0]) + 0.3
