@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import slices, texts
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -97,9 +98,9 @@ def scan(text: list[bytes], blocks) -> tuple[int, list[str]]:
 def _scanner(shared):
     def run(batches):
         blocks = [b.value for b in shared]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            for text in texts(batch):
                 w = words(text)
                 hit, found = scan(w, blocks)
                 rows.append((len(w), hit, found))
@@ -139,8 +140,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
     def run(batches):
         blocks = [b.value for b in shared]
-        for batch in batches:
-            yield batch.filter(pa.array([not scan(words(t), blocks)[0] for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.bool_()))
+        for batch in slices(batches):
+            yield batch.filter(pa.array([not scan(words(t), blocks)[0] for t in texts(batch)], pa.bool_()))
 
     return docs.mapInArrow(run, kinds)
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import labelled
+from tessera.llm.batches import slices, texts
 
 _STEP, _HALF = 4, 128  # bytes between filter positions, and in half a chunk
 #: Bytes that run through the network at once.
@@ -184,8 +185,8 @@ def fit(texts: list[bytes], labels: list[int], cfg: Settings = Settings()) -> Mo
 def _scorer(shared):
     def run(batches):
         model = shared.value
-        for batch in batches:
-            p = model.scores(batch.column("text").cast(pa.binary()).to_pylist())
+        for batch in slices(batches):
+            p = model.scores(texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
     return run, "doc_id bigint, score double"
@@ -210,8 +211,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.scores(batch.column("text").cast(pa.binary()).to_pylist()) >= threshold))
+        for batch in slices(batches):
+            yield batch.filter(pa.array(shared.value.scores(texts(batch)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
