@@ -16,21 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Texts pass through Python a thousand at a time for the rest of the session: workers that all stages share stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labelled documents, does not reject."""
-    _small_batches(spark)
     model = quality.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, trained on the labelled documents, does not reject."""
-    _small_batches(spark)
     model = toxicity.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
@@ -42,7 +35,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no passage of a benchmark item occurs."""
-    _small_batches(spark)
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 

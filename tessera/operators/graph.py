@@ -38,13 +38,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct()
         now = scratch.table(small, f"e{i}")
-        if i > 1:
-            scratch.drop(f"e{i - 1}")
-            scratch.drop(f"l{i - 1}")
+        scratch.drop(f"e{i - 1}")
+        scratch.drop(f"l{i - 1}")
         if (state := _state(now)) == seen:
             break
         seen = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    found = scratch.table(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "found")
+    for name in ("nodes", f"e{i}", f"l{i}"):
+        scratch.drop(name)
+    return found

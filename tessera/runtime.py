@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,14 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``; a local one only where unset."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process may it be unset; then it is a temporary folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -46,14 +52,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
-        """Write ``df`` and return the written table. ``release`` has Spark drop the shuffle files of finished jobs
-        soon: it does so once the driver's garbage collector has found them unreachable."""
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and return the written table."""
         path = self.path(name)
         with session_conf(self.spark, _CLEANUP, "true"):  # nothing reads this job's shuffle files once the table stands
             df.write.mode("overwrite").parquet(path)
-        if release:
-            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -23,6 +23,18 @@ def test_scratch(spark):
         spark.read.parquet(s.path("a"))
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Spark:
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getConf = staticmethod(dict)
+
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="share"):
+        runtime.shared_dir(Spark)
+
+
 def test_settings_return(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
