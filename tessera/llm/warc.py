@@ -27,6 +27,8 @@ from tessera.runtime import Scratch, arrow_rows, join_by_size
 LEAST_BYTES = 100
 #: An archive file is closed after so many bytes of payload or records.
 FILE_BYTES, FILE_RECORDS = 64 << 20, 20_000
+#: Files are dealt over so many tasks at most.
+MOST_TASKS = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = "X-Page-Id"
 _HEADERS = "file string, ordinal bigint, page_id bigint, url string, payload_bytes bigint, digest string"
@@ -94,13 +96,14 @@ def _http(size: int) -> bytes:
 
 
 class _Files:
-    """Archive files of one task attempt; a file is closed when it is full."""
+    """Archive files of one task attempt, in the folder of its partition; a file is closed when it is full."""
 
     def __init__(self, folder: str):
-        self.fs, self.path = open_fs(folder)
-        self.fs.create_dir(self.path, recursive=True)
-        self.folder, self.n, self.out = folder, 0, None
         t = TaskContext.get()
+        self.folder = f"{folder}/part-{t.partitionId():06d}"
+        self.fs, self.path = open_fs(self.folder)
+        self.fs.create_dir(self.path, recursive=True)
+        self.n, self.out = 0, None
         self.stem = f"part-{t.partitionId():06d}-{t.taskAttemptId()}"
 
     def add(self, data: bytes, size: int) -> tuple[str, int]:
@@ -191,8 +194,32 @@ def _rewrite(folder: str, date: str, level: int):
 def write_deduplicated(headers: DataFrame, revisits: DataFrame, folder: str, date: str, level: int = 6) -> DataFrame:
     """Copy the archives named in ``headers`` with fresh headers, revisits without payload; lazily returns the new files."""
     refs = revisits.groupBy("file").agg(F.collect_list(F.struct("ordinal", F.col("original.page_id").alias("page_id"), F.col("original.file").alias("file"), F.col("original.ordinal").alias("at"), F.col("original.url").alias("url"))).alias("refs"))
-    work = headers.select("file").distinct().join(refs, "file", "left")
-    return work.mapInArrow(_rewrite(folder, date, level), "file string").distinct()
+    work = headers.select("file").distinct()
+    # a task for each file: the names alone are so few bytes that they would be merged into one
+    return work.join(refs, "file", "left").repartition(_tasks(work.count())).mapInArrow(_rewrite(folder, date, level), "file string").distinct()
+
+
+def _tasks(files: int) -> int:
+    return max(1, min(files, MOST_TASKS))
+
+
+def _pruned(batches):
+    for batch in batches:
+        gone = 0
+        for row in batch.to_pylist():
+            fs, path = open_fs(row["folder"])
+            kept = {name.rsplit("/", 1)[1] for name in row["files"]}
+            for info in fs.get_file_info(pafs.FileSelector(path)):
+                if info.base_name not in kept:
+                    fs.delete_file(info.path)
+                    gone += 1
+        yield pa.RecordBatch.from_arrays([pa.array([gone], pa.int64())], names=["gone"])
+
+
+def prune(files: DataFrame) -> DataFrame:
+    """Deletes, beside the named archives, what attempts that did not end well left in their folders; returns counts."""
+    at = files.groupBy(F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.collect_list("file").alias("files"))
+    return at.mapInArrow(_pruned, "gone bigint")
 
 
 def _page_of(urn: str) -> int | None:
@@ -234,7 +261,8 @@ def archive_pages(pages: DataFrame, date: str | None = None) -> DataFrame:
 
     Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to, url`` per row, the url as stored.
     Repeated rows are records of their own; no rows write no records; further columns are ignored.
-    The deduplicated archives stay in the shared folder.
+    The deduplicated archives stay in the shared folder, without files of failed attempts in their partitions' folders.
+    A payload of any length is one record, held whole by the task that writes or reads it.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
@@ -244,9 +272,10 @@ def archive_pages(pages: DataFrame, date: str | None = None) -> DataFrame:
         revisits = scratch.table(resolve(headers, scratch), "revisits")
     with arrow_rows(spark, 4):
         files = scratch.table(write_deduplicated(headers, revisits, scratch.path("archives"), date), "files")
-    scratch.drop("raw")
-    tasks = max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))
-    return read_archives(files.repartition(tasks))
+        scratch.table(prune(files), "pruned")
+    for name in ("raw", "headers", "originals", "revisits", "pruned"):
+        scratch.drop(name)
+    return read_archives(files.repartition(_tasks(files.count())))
 
 
 def op5_warc_revisits(spark, sf_dir: str) -> DataFrame:
