@@ -34,8 +34,8 @@ def test_equals_direct_comparison(window):
     table = D.build([(n, t.encode()) for n, t in items], window)
     for _ in range(150):
         text = " ".join(word() for _ in range(rng.randint(0, 40)))
-        w = D.words(text.encode())
-        assert (len(w), *D.scan(w, [table])) == brute(text, items, window)
+        (n, spans, found), (m, *_) = table.search([text.encode(), None])
+        assert (n, D.covered(spans), sorted(found)) == brute(text, items, window) and m == 0
 
 
 def test_blocks_of_items(spark):
@@ -58,6 +58,21 @@ def test_blocks_of_items(spark):
     assert sorted(map(str, (r["doc_id"] for r in D.clean(docs, bench).collect()))) == ["2", "3"]
 
 
+def test_tables_are_compact_and_held_one_at_a_time(spark):
+    rng = random.Random(3)
+    vocab = [f"word{i}" for i in range(30_000)]
+    items = [(str(i), " ".join(rng.choices(vocab, k=1000)).encode()) for i in range(100)]
+    text = sum(len(t) for _, t in items)
+    assert D.build(items).nbytes() < 10 * text
+    shared = [spark.sparkContext.broadcast(D.build(items[i : i + 20])) for i in range(0, 100, 20)]
+    held = []
+    for block in D._held(shared):
+        held.append(sum("_value" in vars(b) for b in shared))
+        assert len(block.names) == 20
+    assert max(held) <= 1 and not any("_value" in vars(b) for b in shared)
+    assert [b.names[0] for b in D._held(shared)] == ["0", "20", "40", "60", "80"]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
