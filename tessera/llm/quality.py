@@ -28,9 +28,9 @@ class Settings:
     dim: int = 8
     filters: int = 32
     hidden: int = 16
-    epochs: int = 8
+    visits: int = 40_000  # texts that training looks at in all, each as often as any other
     short: float = 0.25
-    rate: float = 0.004
+    rate: float = 0.008
     seed: int = 11
 
 
@@ -138,7 +138,8 @@ def fit(texts: list[bytes], labels: list[int], cfg: Settings = Settings()) -> Mo
     weight = np.where(bad == 1, 0.5 / bad.mean(), 0.5 / (1 - bad).mean()).astype(np.float32)
     m1, m2, t = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}, 0
     per = _HALF // _STEP
-    for epoch in range(cfg.epochs):
+    epochs = -(-cfg.visits // len(texts))
+    for epoch in range(epochs):
         order = rng.permutation(len(texts))
         at = 0
         while at < len(order):
@@ -174,7 +175,7 @@ def fit(texts: list[bytes], labels: list[int], cfg: Settings = Settings()) -> Mo
             np.add.at(g["embed"], byte[pos].ravel(), (hot @ w["left"].T).reshape(-1, cfg.dim))
             np.add.at(g["embed"], byte[pos + 1].ravel(), (hot @ w["right"].T).reshape(-1, cfg.dim))
             t += 1
-            rate = cfg.rate * min(1, 2 * (1 - epoch / cfg.epochs))
+            rate = cfg.rate * min(1, 2 * (1 - epoch / epochs))
             for n in w:
                 m1[n] += 0.1 * (g[n] - m1[n])
                 m2[n] += 0.001 * (g[n] ** 2 - m2[n])
@@ -200,14 +201,16 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Mod
 def quality(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` for every row of ``docs``: the probability that its whole text is of high quality.
 
-    Null and empty texts are scored as one chunk of padding. Ids may be null or repeat; other columns are ignored.
+    Null and empty texts are scored as one chunk of padding; texts of any length are scored whole, in parts of bounded size.
+    Ids may be null or repeat, and repeated rows are scored each; other columns are ignored; no rows give no rows. Without
+    labels of both classes all texts count as good.
     """
     run, schema = _scorer(docs.sparkSession.sparkContext.broadcast(model))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with their columns."""
+    """The rows of ``docs`` whose score reaches the threshold, with their columns; null texts are scored as empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -218,6 +221,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
+    """``documents`` by a model of the labelled ones outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return found.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

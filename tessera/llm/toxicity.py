@@ -1,9 +1,10 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is its character n-grams, hashed to rows of an embedding table; a window of words is the average of its
-n-grams' vectors, which a linear layer and a softmax turn into a probability. Embeddings and layer are trained
-together. A document is as toxic as its most toxic window, so a slur in a long text counts, and training pulls
-on each document's most toxic window; words that were never seen share n-grams, and so vectors, with known ones.
+A word is its character n-grams, hashed to rows of an embedding table; a window of ``Settings.window`` consecutive words
+is the average of all its n-grams' vectors, which a linear layer and a softmax turn into a probability. Embeddings
+and layer are trained together. The windows overlap and cover the whole document, which is as toxic as its most toxic
+window: an average over a long text would hide one slur. Training pulls on each document's most toxic window;
+words that were never seen share n-grams, and so vectors, with known ones.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ class Settings:
     grams: tuple[int, ...] = (3, 4, 5)
     bucket_bits: int = 17
     dim: int = 12
-    window: int = 1
-    epochs: int = 20
-    steps: int = 30_000  # small samples get more epochs, up to so many documents in all
+    window: int = 4
+    visits: int = 40_000  # documents that training looks at in all, each as often as any other
     clean_windows: int = 4
     rate: float = 0.15
     seed: int = 7
@@ -143,7 +143,7 @@ def fit(texts: list[bytes], labels: list[int], cfg: Settings = Settings()) -> Mo
     starts = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     per = counts[flat]
     spans = [(lo, min(lo + 20_000, len(counts))) for lo in range(0, len(counts), 20_000)]
-    for epoch in range(max(cfg.epochs, min(150, cfg.steps // len(docs)))):
+    for epoch in range(-(-cfg.visits // len(docs))):
         margin = table @ (layer[:, 1] - layer[:, 0])
         per_word = np.concatenate([np.add.reduceat(np.append(margin[buckets[first[lo] : first[hi]]], 0.0), first[lo:hi] - first[lo]) for lo, hi in spans])
         sums = np.where(counts > 0, per_word, 0.0)[flat]
@@ -208,14 +208,16 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Mod
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` for every row of ``docs``: the probability of toxicity of its whole text.
 
-    Null, empty and wordless texts get a low score. Ids may be null or repeat; other columns are ignored.
+    Null, empty and wordless texts get a low score; texts of any length are scored whole. Ids may be null or repeat, and
+    repeated rows are scored each; other columns are ignored; no rows give no rows. Without labels of both classes
+    all scores are low.
     """
     run, schema = _scorer(docs.sparkSession.sparkContext.broadcast(model))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with their columns."""
+    """The rows of ``docs`` whose score is below the threshold, with their columns; null and wordless texts stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -226,6 +228,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """``documents`` by a model of the labelled ones outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return found.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

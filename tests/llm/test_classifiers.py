@@ -72,6 +72,8 @@ def test_quality_held_out(spark, sf):
     got = quality.op9_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert auc([r["score"] for r in got], [r["quality"] for r in got]) > 0.9
     assert sum(r["predicted"] for r in got if r["quality"] == 1) / sum(r["quality"] for r in got) > 0.95
+    bad = [r["predicted"] for r in got if r["quality"] == 0]
+    assert bad.count(0) / len(bad) > 0.6
 
 
 def _slow_logit(model, text):
@@ -96,7 +98,7 @@ def _slow_logit(model, text):
 def test_network_equals_slow_definition(monkeypatch):
     rng = np.random.default_rng(0)
     texts = [rng.integers(1, 255, n).astype(np.uint8).tobytes() for n in (0, 1, 120, 123, 124, 125, 128, 250, 1000, 5000)]
-    model = quality.fit(texts, [1, 0] * 5, quality.Settings(epochs=2))
+    model = quality.fit(texts, [1, 0] * 5, quality.Settings(visits=20))
     want = [_slow_logit(model, t) for t in texts]
     assert np.allclose(model.logits(texts), want, atol=1e-3)
     monkeypatch.setattr(quality, "_BATCH", 512)
@@ -106,7 +108,7 @@ def test_network_equals_slow_definition(monkeypatch):
 def test_many_short_texts_are_scored_apart(monkeypatch):
     rng = np.random.default_rng(4)
     texts = [bytes(rng.integers(1, 256, int(n), dtype=np.uint8)) for n in rng.integers(1, 60, 60)]
-    model = quality.fit(texts[:20], [i % 2 for i in range(20)], quality.Settings(epochs=1))
+    model = quality.fit(texts[:20], [i % 2 for i in range(20)], quality.Settings(visits=20))
     model.w["bias"][:] = -0.5
     model.w["right"][:] *= 20
     alone = [float(model.logits([t])[0]) for t in texts]
@@ -116,7 +118,7 @@ def test_many_short_texts_are_scored_apart(monkeypatch):
 
 
 def test_quality_edges(spark, edges):
-    model = quality.fit([b"fine words here " * 20, b"$$$ &&& " * 40] * 10, [1, 0] * 10, quality.Settings(epochs=4))
+    model = quality.fit([b"fine words here " * 20, b"$$$ &&& " * 40] * 10, [1, 0] * 10, quality.Settings(visits=80))
     got = quality.quality(edges, model).collect()
     assert len(got) == len(EDGES) and all(0 <= r["score"] <= 1 for r in got)
     assert quality.keep_good(edges, model).columns == edges.columns
@@ -152,11 +154,37 @@ def test_toxicity_windows():
     assert np.allclose(toxicity.window_means(s[:0], c[:0], 1), [toxicity._CLEAN])
 
 
+def test_toxicity_equals_slow_definition():
+    """The average of a window's n-gram vectors through the linear layer and softmax; a text is its most toxic window."""
+    cfg = toxicity.Settings(window=3, bucket_bits=10, dim=5)
+    rng = np.random.default_rng(2)
+    table, layer, bias = rng.standard_normal((1 << 10, 5)), rng.standard_normal((5, 2)), rng.standard_normal(2)
+    model = toxicity.Model(table @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]), cfg)
+    texts = [" ".join(rng.choice(["ab", "Cdé", "--", "xyzzy,", "q", "lorem"], n)).encode() for n in (1, 2, 3, 4, 9, 40)]
+    for text, got in zip(texts, model.scores(texts), strict=True):
+        ws, best = text.lower().split(), 0.0
+        for at in range(max(1, len(ws) - 2)):
+            rows = np.concatenate([toxicity._grams([w], cfg)[0] for w in ws[at : at + 3]])
+            if len(rows):
+                e = np.exp(table[rows].mean(axis=0) @ layer + bias)
+                best = max(best, e[1] / e.sum())
+        assert np.isclose(got, best) or best == 0 and got < 0.01
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    right = sum(r["predicted"] for r in got if r["toxic"] == 1)
+    assert right / sum(r["toxic"] for r in got) > 0.85 and right / sum(r["predicted"] for r in got) > 0.85
+    assert auc([r["score"] for r in got], [r["toxic"] for r in got]) > 0.95
+
+
 def test_toxicity_edges(spark, edges, sf):
-    model = toxicity.fit([b"you idiot", b"fine day"] * 20, [1, 0] * 20, toxicity.Settings(epochs=3))
+    model = toxicity.fit([b"you idiot", b"fine day"] * 20, [1, 0] * 20, toxicity.Settings(visits=120))
     got = toxicity.toxicity(edges, model).collect()
     assert len(got) == len(EDGES) and all(0 <= r["score"] < 0.5 for r in got if r["doc_id"] in (1, 2))
     assert toxicity.keep_clean(edges, model).columns == edges.columns
     assert toxicity.fit([], []).scores([b"anything"])[0] < 0.5
-    full = toxicity.op10_toxicity(spark, sf)
-    assert full.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert toxicity.toxicity(edges.limit(0), model).count() == 0 and toxicity.keep_clean(edges.limit(0), model).count() == 0
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    assert toxicity.train(edges.limit(0), labels.limit(0)).scores([b"you idiot"])[0] < 0.5
