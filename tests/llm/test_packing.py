@@ -76,3 +76,19 @@ def test_best_fit_beats_the_bound():
     rng = np.random.default_rng(2)
     lengths = np.minimum(2048, rng.lognormal(6.3, 1, 20_000).astype(int) + 1)
     assert K.pack_lengths(lengths)[0].max() + 1 <= lengths.sum() / 2048 * 1.01
+
+
+def test_remembered_generations(monkeypatch):
+    """Ids do not depend on what is remembered; a chunk that is met again outlives its generation."""
+    path = str(public_tokenizers.path(K.TOKENIZER))
+    texts = [f"stay w{i} v{i % 7}, x{i * i}".encode() for i in range(60)]
+    want = list(K.token_bytes(texts, path))
+    monkeypatch.setattr(K, "REMEMBERED", 10)
+    monkeypatch.setattr(K, "_IDS", {})
+    got = [x for i in range(0, 60, 4) for x in K.token_bytes(texts[i : i + 4], path)]
+    assert got == want and b"stay" in K._IDS[path][2] and len(K._IDS[path][2]) + len(K._IDS[path][3]) < 60
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="chunks"):
+        K._tokenizer(str(public_tokenizers.path("byte_bpe_50k.json")))
