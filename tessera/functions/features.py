@@ -9,6 +9,7 @@ from tessera.functions import lexicon as L
 from tessera.functions import similarity as S
 from tessera.functions.text import padded_grams
 
+# Names and order of the features.
 FEATURES = (
     "idf_name_jac", "name_contain", "char_sim", "house_agree", "addr_jac", "addr_exact", "city_agree", "name_rare",
     "name_len_ratio", "jaro_winkler", "tfidf_cos", "rf_token_sort", "rf_token_set", "rf_partial", "rf_addr_sort",

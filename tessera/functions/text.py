@@ -31,7 +31,11 @@ def clean_noise(s: Column) -> Column:
 
 
 def fold(s: Column) -> Column:
-    """Lower case without accents; U+FFFD is a space and ``&`` is ``and``."""
+    """Lower case without accents; U+FFFD is a space and ``&`` is ``and``.
+
+    Long decompositions outside Latin letters and ligatures, as of number, trade mark and Roman numeral signs, are
+    kept as they are; ``fold_any_script`` has them all.
+    """
     s = F.replace(F.replace(s, F.lit("�"), F.lit(" ")), F.lit("&"), F.lit(" and "))
     long = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), L.FOLD_LONG.items(), s)
     s = F.when(s.rlike("[" + "".join(L.FOLD_LONG) + "]"), long).otherwise(s)
@@ -127,6 +131,7 @@ def expand_abbreviations(parts: Column, table: dict[str, str]) -> Column:
     return F.flatten(F.transform(parts, lambda t: F.when(F.try_element_at(m, t).isNotNull(), F.array(t, F.try_element_at(m, t))).otherwise(F.array(t))))
 
 
+# The suffixes that augmentation chooses from.
 _CHOICES = ("Inc", "LLC", "Ltd", "Corp", "Co", "SARL", "SAS", "Pvt")
 
 

@@ -15,7 +15,8 @@ NAME_WEIGHT, ADDR_WEIGHT, HOUSE_WEIGHT = 2.0, 1.2, 8.0
 def _tokens_long(pre: DataFrame, id_name: str) -> DataFrame:
     """One row per record, field and distinct token, from one scan."""
     tag = lambda fld, c: F.transform(c, lambda t: F.struct(F.lit(fld).alias("fld"), t.alias("token")))
-    all_of = F.concat(tag("N", "name_set"), tag("A", "addr_set"), tag("H", "house_set"))
+    # a null name or address has no tokens and takes none from the other
+    all_of = F.concat(*[F.coalesce(tag(fld, c), F.array().cast("array<struct<fld:string,token:string>>")) for fld, c in (("N", "name_set"), ("A", "addr_set"), ("H", "house_set"))])
     return pre.select(F.trim("country").alias("country"), F.col("entity_id").alias(id_name), F.explode(all_of).alias("p")).select("country", "p.fld", "p.token", id_name)
 
 

@@ -564,13 +564,19 @@ def seeded_sample(spark, sf_dir):
 # --- mining and exploration ------------------------------------------------------------------------------------
 
 
-def _mine_sql(pattern, group):
-    return f"select item, count(*) n_texts from (select unnest(list_distinct(regexp_extract_all(html, {Q.q(pattern)}, {group}))) item from pages) group by item"
+def _mine_sql(pattern, group, text="html", table="pages"):
+    return f"select item, count(*) n_texts from (select unnest(list_distinct(regexp_extract_all({text}, {Q.q(pattern)}, {group}))) item from {table}) group by item"
 
 
-@query(f"select * from ({_mine_sql(mining.URL, 0)}) where regexp_matches(lower(item), 'example|blog')")
+@query(f"select * from ({_mine_sql(mining.URL, 0, 'url')}) where regexp_matches(lower(item), 'example|blog')")
 def url_mining(spark, sf_dir):
-    return mining.mine(_table(spark, sf_dir, "pages"), "html", mining.URL, 0, ("example", "blog"))
+    return mining.mine(_table(spark, sf_dir, "pages"), "url", mining.URL, 0, ("example", "blog"))
+
+
+@query(_mine_sql(mining.OPERATION, 1, "concat('call(\"', c_mktsegment, '\")')", "customer"))
+def operation_mining(spark, sf_dir):
+    calls = _table(spark, sf_dir, "customer").select(F.concat(F.lit('call("'), "c_mktsegment", F.lit('")')).alias("script"))
+    return mining.mine(calls, "script", mining.OPERATION, 1)
 
 
 @query(_mine_sql(mining.PATH, 1))
