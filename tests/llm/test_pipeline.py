@@ -40,7 +40,7 @@ def test_run(spark, sf):
     left = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
     assert 0.5 * docs.count() < len(left) < docs.count()
     kept = docs.where(docs.doc_id.isin(list(left)))
-    assert jaccard_join.jaccard_classes(kept).where("n_links > 0").count() == 0
+    assert jaccard_join.jaccard_classes(kept, count_links=True).where("n_links > 0").count() == 0
 
 
 def test_no_documents(spark, sf):
