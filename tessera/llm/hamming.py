@@ -5,8 +5,9 @@ a code that many rows share is compared once. Classes are dealt into index block
 segments of about log2(classes) bits, each with a bucket table. A query looks up its own segments first, then all
 segment values at distance 1, then 2, and so on, one segment at a time. After the s-th of m segments at radius t
 every code within Hamming distance m*t + s (s from 0) has been met, and the query is done as soon as the distance
-of its kth verified code is covered. A radius with more lookups than the block has codes is answered by comparing
-all of them. Queries are the stated query set: their codes are broadcast in blocks of bounded size.
+of its kth verified code is covered. Over all radii a segment has as many lookups as values, about as many as the
+block has codes, so a query that ends late costs a small multiple of comparing everything and needs no other way.
+Queries are the stated query set: their codes are broadcast in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -60,21 +61,17 @@ class Index:
 
     def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, class, distance) of all classes up to each query's kth distance; all classes if they hold fewer than k rows."""
-        out, n = [], len(self.codes)
+        out = []
         hist = np.zeros((len(queries), self.bits + 1), np.int64)
         active = np.arange(len(queries))
         t = 0
-        while len(active):
-            lookups = sum(self._count(b - a, t) for a, b in self.segments)
-            if lookups >= n or t > self.bits:  # comparing all codes costs less
-                out += self._all(queries, active, hist, t)
-                break
+        while len(active) and t <= max(b - a for a, b in self.segments):  # the last radius has met every code
             for s, (a, b) in enumerate(self.segments):
                 if not len(active):
                     break
                 if t > b - a:
                     continue
-                out += self._probe(queries, active, hist, s, t)
+                out += self._probe(queries, active, hist, s, t, k)
                 # kth verified distance against what is covered by now
                 kth = self._kth(hist[active], k)
                 active = active[kth > self.m * t + s]
@@ -85,17 +82,11 @@ class Index:
         keep = d <= self._kth(hist, k)[q]
         return q[keep], c[keep], d[keep]
 
-    @staticmethod
-    def _count(width: int, t: int) -> int:
-        from math import comb
-
-        return comb(width, t) if t <= width else 0
-
     def _kth(self, hist: np.ndarray, k: int) -> np.ndarray:
         reached = np.cumsum(hist, axis=1) >= k
         return np.where(reached.any(axis=1), reached.argmax(axis=1), self.bits + 1)
 
-    def _probe(self, queries, active, hist, s, t):
+    def _probe(self, queries, active, hist, s, t, k):
         a, b = self.segments[s]
         order, starts = self.tables[s]
         masks = self.at_radius(b - a, t)
@@ -113,11 +104,11 @@ class Index:
                     at = np.repeat(f - np.concatenate(([0], np.cumsum(z)[:-1])), z) + np.arange(total)
                     c = order[at]
                     q = np.repeat(active[lo + cut : lo + to], per[cut:to])
-                    yield from self._verify(queries, q, c, hist, s, t)
+                    yield from self._verify(queries, q, c, hist, s, t, k)
                 cut = to
 
-    def _verify(self, queries, q, c, hist, s, t):
-        """Distances of candidates that no earlier lookup has met."""
+    def _verify(self, queries, q, c, hist, s, t, k):
+        """Distances of candidates that no earlier lookup has met, and that can still be among the k nearest."""
         x = queries[q] ^ self.codes[c]
         new = np.ones(len(x), bool)
         for i, (a, b) in enumerate(self.segments):
@@ -126,23 +117,10 @@ class Index:
                 new &= d > t if i < s else d >= t
         q, c, d = q[new], c[new], np.bitwise_count(x[new]).astype(np.int64)
         np.add.at(hist, (q, d), self.weights[c])
-        if len(q):
-            yield q, c, d
-
-    def _all(self, queries, active, hist, t):
-        """All classes not met below radius ``t``."""
-        step = max(1, _AT_ONCE // max(1, len(self.codes)))
-        for lo in range(0, len(active), step):
-            part = active[lo : lo + step]
-            x = queries[part][:, None] ^ self.codes[None, :]
-            new = np.ones(x.shape, bool)
-            for a, b in self.segments:
-                new &= np.bitwise_count(x & _U(((1 << (b - a)) - 1) << a)) >= t
-            i, c = np.nonzero(new)
-            d = np.bitwise_count(x[i, c]).astype(np.int64)
-            np.add.at(hist, (part[i], d), self.weights[c])
-            if len(i):
-                yield part[i], c, d
+        asked, own = np.unique(q, return_inverse=True)
+        near = d <= self._kth(hist[asked], k)[own]  # the kth distance only shrinks
+        if near.any():
+            yield q[near], c[near], d[near]
 
 
 def _searcher(shared, k: int):

@@ -96,6 +96,17 @@ def _step(j, o, own, edge, limit, found) -> dict[int, _Open]:
     raise AssertionError("an open interval has rows")
 
 
+def _range_of(edges: list[tuple[int, int]]):
+    """The number of edges at or below a row's (k, d), by binary search in one array of edges in order."""
+    edges = [(k + 1, _LOW) if d >= 1 << 63 else (k, d) for k, d in edges]
+    edges = [e for e in edges if e[0] < 1 << 63]  # no row lies beyond the others
+    if not edges:
+        return F.lit(0)
+    known = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(d).cast("bigint").alias("d")) for k, d in edges])
+    own, steps = F.struct("k", "d"), [1 << i for i in reversed(range(len(edges).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(F.get(known, n + step - 1) <= own, n + step).otherwise(n))
+
+
 def shard(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs``, by the law ``bytes``.
 
@@ -114,20 +125,9 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = TOLERANCE, id_co
     rows = scratch.table(rows, "rows")
     slices = max(1, min(_MOST_RANGES // shards, -(-rows.count() // (shards * _ROWS_A_RANGE))))
     splitters = find_splitters(rows.select("k", "d", "size"), shards * slices, tolerance, shards)
-    part, starts = F.lit(0), [0]
-    for (k, d), below in splitters:
-        starts.append(below)
-        if k >= 1 << 63:
-            continue
-        if d >= 1 << 63:
-            past = F.col("k") > F.lit(k)
-        elif d == _LOW:
-            past = F.col("k") >= F.lit(k)
-        else:
-            past = (F.col("k") > F.lit(k)) | ((F.col("k") == F.lit(k)) & (F.col("d") >= F.lit(d)))
-        part = part + past.cast("int")
+    starts = [0] + [below for _, below in splitters]
+    there = rows.withColumn("part", _range_of([edge for edge, _ in splitters])).repartitionById(shards * slices, F.col("part")).sortWithinPartitions("k", "d")
     begun = F.array(*[F.lit(starts[i] - starts[i - i % slices]).cast("bigint") for i in range(len(starts))])
-    there = rows.withColumn("part", part).repartitionById(shards * slices, F.col("part")).sortWithinPartitions("k", "d")
     in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return there.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("part") / slices).cast("int").alias("shard"),

@@ -46,6 +46,21 @@ def test_index_equals_comparing_all(n, spread, k, monkeypatch):
     assert got == sorted(want)
 
 
+def test_radii_grow_only_until_covered(monkeypatch):
+    rng = np.random.default_rng(3)
+    some = np.unique(rng.integers(0, 2**64 - 1, 2000, dtype=np.uint64))
+    near = some[:50] ^ np.uint64(1)  # two codes at distance 1 at most
+    index = H.Index(np.unique(np.concatenate((some, near))), np.ones(2050, np.int64))
+    radii, probe = [], H.Index._probe
+    monkeypatch.setattr(H.Index, "_probe", lambda self, queries, active, hist, s, t, k: radii.append((t, len(active))) or probe(self, queries, active, hist, s, t, k))
+    index.search(near, 2)
+    assert {t for t, _ in radii} == {0}
+    radii.clear()
+    index.search(some[100:120], 2)  # the second is far, so radii grow, but not to the last
+    assert 0 < max(t for t, _ in radii) < max(b - a for a, b in index.segments)
+    assert len(index.search(near[:1], len(index.codes) + 1)[1]) == len(index.codes)  # more than there are: everything is met, once
+
+
 def test_hot_codes_nulls_and_ties(spark, monkeypatch):
     monkeypatch.setattr(H, "BLOCK_QUERIES", 7)
     monkeypatch.setattr(H, "BLOCK_CLASSES", 50)
