@@ -15,12 +15,14 @@ badly filled, whatever the size of the corpus.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,12 @@ BLOCK_PIECES = 1 << 14
 #: A worker remembers the ids of so many chunks and as many before them: a generation that is full becomes the old
 #: one, from which chunks that are met again move on.
 REMEMBERED = 250_000
+#: Bytes of text whose chunks are told apart and looked up together.
+_AT_ONCE = 8 << 20
 _IDS: dict[str, tuple] = {}
+#: A run of letters that no normalisation changes (a-z and the small letters of U+00DF to U+00FF, in UTF-8), and the run of
+#: ASCII punctuation behind it: two words to the tokenizer, whichever letters and signs they hold.
+_EASY = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 #: A text by which a tokenizer of another kind is told.
 _PROBE = "The quick, brown Fox's\n\tUNBELIEVABLE den: 12.5% (caf\u00e9) a  b.c"
 
@@ -50,79 +57,108 @@ class Capacity:
 
 
 def _tokenizer(path: str):
-    """The tokenizer of a file, which of its ids end a word, and the two generations of chunks that this worker remembers."""
+    """The tokenizer of a file, which of its ids end a word, the two generations of chunks that this worker remembers,
+    and the file's model behind a plain split at white space."""
     if path not in _IDS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tok = Tokenizer.from_file(path)
         ends = np.zeros(max(tok.get_vocab().values()) + 1, bool)
         ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
-        apart = [i for w in _PROBE.lower().split() for i in tok.encode(w, add_special_tokens=False).ids]
-        if not ends.any() or tok.encode(_PROBE, add_special_tokens=False).ids != apart:
+        bare = Tokenizer(tok.model)
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        encode = lambda t, by=tok: by.encode(t, add_special_tokens=False).ids
+        words = _PROBE.lower().split()
+        easy = " ".join(w for w in re.findall("[^\\W\\d_]+", _PROBE.lower()) if _EASY.fullmatch(w.encode()))
+        if not ends.any() or encode(_PROBE) != [i for w in words for i in encode(w)] or encode(easy) != encode(easy, bare):
             raise ValueError(f"{path}: the ids of a text are not those of its lower-cased chunks with marked ends")
-        _IDS[path] = tok, ends, {}, {}
+        _IDS[path] = tok, ends, {}, {}, bare
     return _IDS[path]
 
 
-def _encode(tok, ends: np.ndarray, chunks: list[bytes]):
-    """The ids of each chunk. Words of letters alone are encoded many at a time, as one text whose ids are cut at word ends."""
-    texts = [w.decode() for w in chunks]
-    plain = [t.isalpha() for t in texts]
-    together = [i for i, p in enumerate(plain) if p]
-    alone = [i for i, p in enumerate(plain) if not p]
-    out: list[bytes] = [b""] * len(chunks)
-    for lo in range(0, len(together), 1024):
-        part = together[lo : lo + 1024]
-        ids = np.array(tok.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+def _encode_words(tok, ends: np.ndarray, words: list[str]) -> list[bytes | None]:
+    """The ids of words, encoded many at a time as one text whose ids are cut at word ends; None where words fell apart."""
+    out: list[bytes | None] = [None] * len(words)
+    for lo in range(0, len(words), 1024):
+        part = words[lo : lo + 1024]
+        ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
         at = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-        if len(at) != len(part):  # a letter fell apart when it was normalised
-            alone += part
-            continue
-        raw, a = ids.astype("<u4").tobytes(), 0
-        for i, b in zip(part, at, strict=True):
-            out[i], a = raw[a:b], b
+        if len(at) == len(part):
+            raw = ids.astype("<u4").tobytes()
+            out[lo : lo + 1024] = [raw[a:b] for a, b in zip([0, *at], at)]  # noqa: B905
+    return out
+
+
+def _encode(tok, ends: np.ndarray, chunks: list[bytes]) -> list[bytes]:
+    """The ids of any chunks; those of letters alone go together."""
+    texts = [w.decode() for w in chunks]
+    plain = [i for i, t in enumerate(texts) if t.isalpha()]
+    out: list[bytes | None] = [None] * len(chunks)
+    for i, x in zip(plain, _encode_words(tok, ends, [texts[i] for i in plain]), strict=True):
+        out[i] = x
+    alone = [i for i, x in enumerate(out) if x is None]
     if alone:
         for i, e in zip(alone, tok.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
             out[i] = array("I", e.ids).tobytes()
     return out
 
 
-def _learn(tok, ends: np.ndarray, known: dict[bytes, bytes], new: set[bytes]) -> None:
+def _learn(tok, bare, ends: np.ndarray, known: dict[bytes, bytes], new: list[bytes]) -> None:
     """Remember the little-endian ids of new chunks."""
-    # a letter run and the one full stop or comma behind it are tokens of their own
-    cut = {w for w in new if w[-1] in b".," and len(w) > 1 and w[:-1].isalpha()}
-    stems = {w: w[:-1] for w in cut}
-    ask = list({w for w in stems.values() if w not in known} | {p for p in (b".", b",") if cut and p not in known} | (new - cut))
-    known.update(zip(ask, _encode(tok, ends, ask), strict=True))
-    dot, comma = known.get(b"."), known.get(b",")
-    for w, stem in stems.items():
-        known[w] = known[stem] + (dot if w[-1] == 0x2E else comma)
-
-
-def token_bytes(texts: list[bytes | None], path: str):
+    cut, other = {}, []
+    for w in new:
+        if m := _EASY.fullmatch(w):
+            cut[w] = m.groups()
+        else:
+            other.append(w)
+    stems = list({a for a, _ in cut.values() if a not in known})
+    tails = list({b for _, b in cut.values() if b and b not in known})
+    ids = _encode_words(bare, ends, [w.decode() for w in stems])
+    known.update((w, x) for w, x in zip(stems, ids, strict=True) if x is not None)
+    other += [w for w, x in zip(stems, ids, strict=True) if x is None] + tails
+    known.update(zip(other, _encode(tok, ends, other), strict=True))
+    for w, (a, b) in cut.items():
+        if b:
+            known[w] = known[a] + known[b]
+
+
+def token_bytes(texts: list[bytes | None] | pa.Array, path: str):
     """Yield the ids of each text as little-endian unsigned 32-bit numbers."""
-    tok, ends, known, old = _tokenizer(path)
+    tok, ends, known, old, bare = _tokenizer(path)
     if len(known) > REMEMBERED:
         known, old = {}, known
-        _IDS[path] = tok, ends, known, old
-    found, new = [], set()
-    for t in texts:
-        ws = t.lower().split() if t else []
-        ids = list(map(known.get, ws))
-        gaps = []
-        for i, w in [(i, ws[i]) for i, x in enumerate(ids) if x is None] if None in ids else ():
-            if (x := old.get(w)) is None:
-                gaps.append((i, w))
-            else:
-                known[w] = ids[i] = x
-        new.update(w for _, w in gaps)
-        found.append((ids, gaps))
-    _learn(tok, ends, known, new)
-    for ids, gaps in found:
-        for i, w in gaps:
-            ids[i] = known[w]
-        yield b"".join(ids)
+        _IDS[path] = tok, ends, known, old, bare
+    if isinstance(texts, list):
+        texts = pa.array(texts, pa.large_binary())
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    chunks = words.flatten().dictionary_encode()
+    ws = chunks.dictionary.cast(pa.large_binary()).to_pylist()
+    ids = list(map(known.get, ws))
+    gaps = []
+    for i in [i for i, x in enumerate(ids) if x is None]:
+        if (x := old.get(ws[i])) is None:
+            gaps.append(i)
+        else:
+            known[ws[i]] = ids[i] = x
+    _learn(tok, bare, ends, known, [ws[i] for i in gaps])
+    for i in gaps:
+        ids[i] = known[ws[i]]
+    joined = pa.array(ids, pa.large_binary()).take(chunks.indices)  # the ids of all texts in a row
+    offsets, data = joined.buffers()[1:] if ws else (None, None)
+    at = np.frombuffer(offsets, np.int64)[words.offsets.to_numpy()].tolist() if ws else [0] * (len(words) + 1)
+    for lo, to in zip(at, at[1:]):  # noqa: B905
+        yield data[lo:to].to_pybytes() if to > lo else b""
+
+
+def _portions(texts: pa.Array):
+    """Ranges of texts that hold ``_AT_ONCE`` bytes, or one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(size):
+        to = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _AT_ONCE, side="right")))
+        yield lo, to
+        lo = to
 
 
 def _pieces(path: str, most: int, end: int):
@@ -130,11 +166,10 @@ def _pieces(path: str, most: int, end: int):
 
     def run(batches):
         for batch in batches:
-            texts, ids = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("doc_id").to_pylist()
+            texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
             doc, piece, start, length, crc = [], [], [], [], []
-            step = 256
-            for lo in range(0, len(texts), step):
-                for i, data in zip(ids[lo : lo + step], token_bytes(texts[lo : lo + step], path), strict=True):
+            for lo, to in _portions(texts):
+                for i, data in zip(ids[lo:to], token_bytes(texts.slice(lo, to - lo), path), strict=True):
                     data += tail
                     for k, at in enumerate(range(0, len(data), 4 * most)):
                         part = data[at : at + 4 * most]
