@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 # Results depend on exactly these words.
@@ -60,18 +61,18 @@ LINEAR_THRESHOLD = 0.0
 # End of the fixed values.
 
 _MARKS = "".join(map(chr, range(0x0300, 0x0370)))
-#: Ranges whose characters with longer decompositions are replaced too.
+#: Ranges whose characters with longer decompositions are common: they have replacements of their own.
 _LONG = (range(0x80, 0x250), range(0x1E00, 0x1F00), range(0xFB00, 0xFB07))
 
 
-def fold_table() -> tuple[str, str, dict[str, str]]:
+def fold_table() -> tuple[str, str, dict[str, str], dict[str, str]]:
     """``translate`` arguments that map single characters to their decomposed, unmarked, lower-case ASCII form and
-    delete combining marks, and replacements for characters with longer forms.
+    delete combining marks, and replacements for common and for rare characters with longer forms.
 
     Derived from the Unicode data: characters whose form has no ASCII letter or digit are separators either way.
     """
-    source, target, longer = [], [], {}
-    for code in range(0x80, 0x10000):
+    source, target, common, rare = [], [], {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
         form = unicodedata.normalize("NFKD", c)
         if form == c:
@@ -80,9 +81,20 @@ def fold_table() -> tuple[str, str, dict[str, str]]:
         if len(form) == 1 and form.isascii():
             source.append(c)
             target.append(form)
-        elif any(x.isascii() and x.isalnum() for x in form) and any(code in r for r in _LONG):
-            longer[c] = form
-    return "".join(source) + _MARKS, "".join(target), longer
+        elif any(x.isascii() and x.isalnum() for x in form):
+            (common if any(code in r for r in _LONG) else rare)[c] = form
+    return "".join(source) + _MARKS, "".join(target), common, rare
 
 
-FOLD_FROM, FOLD_TO, FOLD_LONG = fold_table()
+def ranges(chars, gap: int = 64) -> str:
+    """Few ranges of a regular expression class that cover ``chars``, and what lies between near ones."""
+    found: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if found and code - found[-1][1] <= gap:
+            found[-1][1] = code
+        else:
+            found.append([code, code])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in found)
+
+
+FOLD_FROM, FOLD_TO, FOLD_LONG, FOLD_RARE = fold_table()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,15 +28,22 @@ def clean_noise(s: Column) -> Column:
     return s
 
 
+#: What may be a character with a long form; the lookahead passes over ASCII at once.
+_LONG = r"(?![\x00-\x7F])[" + L.ranges(L.FOLD_LONG, 1) + L.ranges(L.FOLD_RARE) + "]"
+_FROM, _FORMS = "".join(L.FOLD_LONG | L.FOLD_RARE), "\n".join((L.FOLD_LONG | L.FOLD_RARE).values())
+
+
 def fold(s: Column) -> Column:
     """Lower case without accents; U+FFFD is a space and ``&`` is ``and``.
 
-    Long decompositions outside Latin letters and ligatures, as of number, trade mark and Roman numeral signs, are
-    kept as they are; ``fold_any_script`` has them all.
+    Characters are replaced by their full decomposition wherever it has an ASCII letter or digit; others are kept, as
+    no token contains them. ``fold_any_script`` decomposes those too.
     """
+    # the long forms that a text needs, each looked up by its place in a string of all
+    forms, found = F.split(F.lit(_FORMS), "\n"), F.array_distinct(F.regexp_extract_all(s, F.lit(_LONG), F.lit(0)))
+    form = lambda c: F.coalesce(F.get(forms, F.position(c, F.lit(_FROM)) - 1), c)
+    s = F.aggregate(found, s, lambda x, c: F.replace(x, c, form(c)))
     s = F.replace(F.replace(s, F.lit("�"), F.lit(" ")), F.lit("&"), F.lit(" and "))
-    long = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), L.FOLD_LONG.items(), s)
-    s = F.when(s.rlike("[" + "".join(L.FOLD_LONG) + "]"), long).otherwise(s)
     return F.lower(F.translate(s, L.FOLD_FROM, L.FOLD_TO))
 
 
@@ -137,9 +142,9 @@ _CHOICES = ("Inc", "LLC", "Ltd", "Corp", "Co", "SARL", "SAS", "Pvt")
 
 def augment_name(name: Column, key: Column, seed: int = 42) -> Column:
     """A name with noise chosen by a hash of ``key``: a quarter each lose a word, have two letters swapped, get
-    another legal suffix in place of theirs, or stay as they are."""
+    another legal suffix in place of theirs, or stay as they are. The hash is one that any engine can compute."""
     parts = F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")
-    h = lambda k: F.pmod(F.xxhash64(key, F.lit(seed + k)), F.lit(1 << 30))
+    h = lambda k: F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed + k}"))), 1, 7), 16, 10).cast("bigint")
     n = F.size(parts)
     r, at = h(0) % 100, (h(1) % n).cast("int")
     dropped = F.array_join(F.filter(parts, lambda x, i: i != at), " ")

@@ -104,8 +104,8 @@ def closure(matches: DataFrame, links: DataFrame | None = None, edge: float = 0.
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The ``n`` rows with the smallest hash of their key: the same on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """The ``n`` rows with the smallest hash of their key: the same on every run and in any engine. Null keys come last."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))).asc_nulls_last(), key).limit(n)
 
 
 def in_training_part(key: Column, percent: int = 70) -> Column:

@@ -149,13 +149,32 @@ def serialize_entities(spark, sf_dir):
     return _records(spark, sf_dir).select("entity_id", X.serialize(*c).alias("line"), X.embedding_text(*c).alias("embed"))
 
 
-@query(None)
+_LOWERED = "['inc', 'llc', 'ltd', 'corp', 'co', 'sarl', 'sas', 'pvt']"
+
+
+@query(
+    f"""with {Q.FIXTURE}, cut as (select entity_id, business_name, string_split(trim(regexp_replace(business_name, '\\s+', ' ', 'g')), ' ') parts, {', '.join(f"cast('0x' || substr(md5(concat(entity_id, ':{42 + k}')), 1, 7) as bigint) h{k}" for k in range(4))} from s1),
+    word as (select *, h0 % 100 r, len(parts) n, cast(h1 % len(parts) as int) + 1 i from cut), letter as (select *, cast(h2 % greatest(1, length(parts[i]) - 1) as int) + 1 j, parts[i] x from word)
+    select entity_id, business_name, case when trim(business_name) = '' then business_name
+      when r < 25 and n > 1 then array_to_string(list_concat(parts[:i - 1], parts[i + 1:]), ' ')
+      when r < 50 then array_to_string(list_concat(parts[:i - 1], [case when length(x) > 2 then concat(substring(x, 1, j - 1), substring(x, j + 1, 1), substring(x, j, 1), substring(x, j + 2)) else x end], parts[i + 1:]), ' ')
+      when r < 75 and list_contains({_LOWERED}, rtrim(lower(parts[-1]), '.')) then array_to_string(list_concat(parts[:n - 1], [['Inc', 'LLC', 'Ltd', 'Corp', 'Co', 'SARL', 'SAS', 'Pvt'][cast(h3 % 8 as int) + 1]]), ' ')
+      else array_to_string(parts, ' ') end augmented from letter"""
+)
 def augment_names(spark, sf_dir):
     s1 = Linkage(spark, sf_dir).s1
     return s1.select("entity_id", "business_name", X.augment_name(F.col("business_name"), F.col("entity_id")).alias("augmented"))
 
 
-@query(None)
+# letters as digits of the code, 7 for letters that are passed over, 0 for all else; equal neighbours count once
+_SOUNDEX = "translate(name_sq, 'abcdefghijklmnopqrstuvwxyz0123456789', '012301270224550126230172020000000000')"
+
+
+@query(
+    f"""with {Q.PRECOMPUTED}, digits as (select entity_id, name_sq, concat({_SOUNDEX}[1], replace(substring({_SOUNDEX}, 2), '7', '')) d from p2)
+    select entity_id, name_sq, case when regexp_matches(name_sq, '^[a-z]') then concat(upper(name_sq[1]),
+      rpad(left(array_to_string(list_transform(range(2, length(d) + 1), lambda i: case when d[i] <> '0' and d[i] <> d[i - 1] then d[i] else '' end), ''), 3), 3, '0')) else name_sq end code from digits"""
+)
 def soundex_codes(spark, sf_dir):
     p = Linkage(spark, sf_dir).pool_pre
     return p.select("entity_id", "name_sq", X.soundex_code(F.col("name_sq")).alias("code"))
@@ -530,10 +549,15 @@ def components(spark, sf_dir):
     return graph.connected_components(_name_links(Linkage(spark, sf_dir)), "x", "y")
 
 
-@query(None)
-def closure_linked(spark, sf_dir):
+@query(
+    f"""{_DECIDED.replace("with ", "with recursive ", 1)}, {_LINKS}, {_COMPONENTS}, comp as (select node, min(other) component from reach group by node),
+    small as (select * from comp where component in (select component from comp group by component having count(*) <= 15)),
+    sure as (select distinct sid, component from dec join small on eid = node where score >= 0.9)
+    select sid, eid from dec union select sid, node from sure join small using (component)"""
+)
+def closure_linked(spark, sf_dir, linkage=Linkage):
     """Decisions closed over links between pool records."""
-    run = Full(spark, sf_dir)
+    run = linkage(spark, sf_dir)
     d = decide.decide(run.entities, run.scored, 50, 70)
     return decide.closure(d.select("sid", "eid", "score"), _name_links(run))
 
@@ -551,12 +575,34 @@ def validator(spark, sf_dir, linkage=Linkage):
     return decide.violations(rows, run.s1, run.pool, run.candidates)
 
 
+_FAULTY = "select sid, cast(substring(sid, 4) as bigint) d, string_split(ids, ',') ids from (select entity_id sid, coalesce(ids, '') || case when d % 5 = 0 then ',' || entity_id else '' end || case when d % 6 = 0 then ',S9-0' else '' end || case when d % 4 = 0 and ids is not null then ',' || string_split(ids, ',')[1] else '' end ids from (select entity_id, cast(substring(entity_id, 4) as bigint) d, (select string_agg(eid, ',' order by eid) from gold where sid = entity_id) ids from s1)) where cast(substring(sid, 4) as bigint) % 7 <> 0"
+
+
+@query(
+    f"""{_CAND}, once as ({_FAULTY}), r as (select * from once union all select * from once where d % 11 = 0), long as (select sid, unnest(ids) eid from r)
+    select unnest(['missing_record', 'repeated_record', 'repeated_match', 'self_match', 'unknown_match', 'match_outside_candidates']) as rule, unnest([
+      (select count(*) from s1 where entity_id not in (select sid from r)), (select count(*) from (select sid from r group by sid having count(*) > 1)),
+      (select count(*) from r where len(ids) <> len(list_distinct(ids))), (select count(*) from long where sid = eid),
+      (select count(*) from long where eid <> '' and eid not in (select entity_id from pool)), (select count(*) from long where eid <> '' and not exists (select 1 from cand c where c.sid = long.sid and c.eid = long.eid))]) n"""
+)
+def validator_faults(spark, sf_dir):
+    """Broken rules of the true matches after records were lost and doubled, and own, unknown and repeated ids added."""
+    run = Linkage(spark, sf_dir)
+    d = F.substring("sid", 4, 20).try_cast("bigint")
+    true = run.truth.select("sid", F.array_join(F.array_sort("gold"), ",").alias("ids")).where(d % 7 != 0)
+    more = lambda when, c: F.when(when, F.concat(F.lit(","), c)).otherwise("")
+    ids = F.concat("ids", more(d % 5 == 0, F.col("sid")), more(d % 6 == 0, F.lit("S9-0")), more((d % 4 == 0) & (F.col("ids") != ""), F.substring_index("ids", ",", 1)))
+    rows = true.select(F.col("sid").alias("source1_entity_id"), ids.alias("matched_entity_ids"), (d % 11 == 0).alias("twice"))
+    rows = rows.unionByName(rows.where("twice")).drop("twice")
+    return decide.violations(rows, run.s1, run.pool, run.candidates)
+
+
 @query("select doc_id, cast(('0x' || substr(md5(cast(doc_id as varchar)), 1, 4)) as bigint) % 100 < 70 train from documents")
 def entity_split(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", decide.in_training_part(F.col("doc_id").cast("string")).alias("train"))
 
 
-@query(None)
+@query(f"with {Q.FIXTURE} select entity_id sid, country from s1 order by md5(concat(entity_id, ':42')), entity_id limit 100")
 def seeded_sample(spark, sf_dir):
     return decide.sample(Linkage(spark, sf_dir).entities, "sid", 100)
 
@@ -662,7 +708,7 @@ def ordered_distinct(spark, sf_dir):
 
 # --- the same with all features, at the limits of full-size sources --------------------------------------------
 
-for _f in (linear_score, decisions, submission_rows, run_summary, threshold_sweep, two_threshold_sweep, best_thresholds, uncertain_band, score_merge, closure_identity, validator, matched_counts):
+for _f in (linear_score, decisions, submission_rows, run_summary, threshold_sweep, two_threshold_sweep, best_thresholds, uncertain_band, score_merge, closure_identity, closure_linked, validator, matched_counts):
     full(_f, Full)
 for _f in (idf_overlap_candidates, uniform_candidates, posting_stats, capped_rate, macro_ceiling, hybrid_union, pair_features, negative_sampling, scorer_pairs, class_balance):
     full(_f, Full)
