@@ -284,10 +284,10 @@ class _Join:
     scratch: Scratch
     percent: int
 
-    def enough(self, parts: str) -> Column:
-        """True if so many parts of a window are as many as a linked pair shares."""
+    def enough(self, parts: str, sides: int = 1) -> Column:
+        """True if so many parts of a window are as many as a linked pair shares, or the larger of two ``sides`` of these."""
         shares = F.array(*[F.lit(x) for x in PartPlan(self.percent).shares()])
-        return F.col(parts) >= F.element_at(shares, (F.col("window") + 1).cast("int"))
+        return F.col(parts) * sides >= F.element_at(shares, (F.col("window") + 1).cast("int"))
 
     def shared_parts(self, keyed: DataFrame) -> DataFrame:
         """``home, last, window, key, parts``: how many parts a class shares with others, by the least and the greatest class that have them.
@@ -386,10 +386,11 @@ class _Join:
         """``key, n, grp``: classes ask a bucket's other groups, unless they are connected with all of such a group there.
 
         Where most of a bucket is one component only the other classes ask; elsewhere of each two groups one asks.
+        A pair's parts lie in several buckets, so either side may ask in some of them only: one has half of the parts or more.
         """
         there = open_seats.groupBy("bucket", F.col("grp").alias("other")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         rows = open_seats.where("not mostly or component <> main").join(there, "bucket")
-        return self._asked(rows.where("grp <> other and (mostly or grp < other) and not (lo = hi and lo = component)"))
+        return self._asked(rows.where("grp <> other and (mostly or grp < other) and not (lo = hi and lo = component)"), sides=2)
 
     def to_every(self, seats: DataFrame) -> DataFrame:
         """``key, n, grp``: the classes of a bucket ask its other groups, of each two groups those of the one with fewer askers."""
@@ -400,9 +401,9 @@ class _Join:
         votes = asks.groupBy(*two).agg(F.count_if(F.expr("own < grp")).alias("n_lo"), F.count_if(F.expr("own > grp")).alias("n_hi"))
         return asks.select("key", "n", "own", "grp", *two).join(votes, ["lo", "hi"]).where("(own < grp) = (n_lo <= n_hi)").select("key", "n", "grp")
 
-    def _asked(self, rows: DataFrame, *more: str) -> DataFrame:
+    def _asked(self, rows: DataFrame, *more: str, sides: int = 1) -> DataFrame:
         """Asks whose class shares enough parts of a window with the other group."""
-        asks = rows.groupBy("key", "other", "window", *more).agg(F.sum("parts").alias("all_parts"), F.first("n").alias("n")).where(self.enough("all_parts"))
+        asks = rows.groupBy("key", "other", "window", *more).agg(F.sum("parts").alias("all_parts"), F.first("n").alias("n")).where(self.enough("all_parts", sides))
         return asks.groupBy("key", F.col("other").alias("grp"), *more).agg(F.first("n").alias("n"))
 
     def open_seats(self, seats: DataFrame, component: DataFrame, name: str) -> DataFrame:

@@ -196,3 +196,15 @@ def test_whole_fixture(spark, sf):
             links[b] += 1
             assert got[a][1] == got[b][1]
     assert all(got[d][0] == len(s) and got[d][2] == links[d] for d, s in sets.items())
+
+
+def test_parts_asked_from_both_sides_count_together(spark):
+    """A pair's parts lie in two buckets, of which each side asks in one: neither has as many as linked sets share."""
+    join = J._Join(None, 90)
+    window = J.PartPlan(90).shares().index(4)
+    seat = lambda bucket, key, parts, grp, component, main, mostly: (bucket, window, key, parts, 100, grp, component, main, mostly)
+    rows = [seat(1, 10, 2, 1, 10, 10, True), seat(1, 11, 2, 1, 10, 10, True), seat(1, 20, 2, 2, 20, 10, True)]
+    rows += [seat(2, 10, 2, 1, 10, 10, False), seat(2, 20, 2, 2, 20, 10, False)]
+    df = spark.createDataFrame(rows, "bucket long, window long, key long, parts long, n long, grp long, component long, main long, mostly boolean")
+    asked = {(r["key"], r["grp"]) for r in join.to_all(df).collect()}
+    assert asked & {(10, 2), (20, 1)}
