@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import ROWS, texts
+from tessera.llm.batches import released, ROWS, texts
 from tessera.llm.shingles import mix, word_hashes
 
 WINDOW = 10
@@ -217,7 +217,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     Without items nothing is hit, without documents there are no rows.
     """
     run, schema = _scanner(benchmark_blocks(benchmark, window))
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -228,7 +228,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array([not hit for _, hit, _ in _scan(shared, batch)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import released, slices
 from tessera.llm.shingles import mix, shingle_sets
 from tessera.operators.graph import connected_components
 from tessera.runtime import Scratch, arrow_rows, join_by_size
@@ -47,7 +48,8 @@ _U = np.uint64
 _RATIO = 1.6
 #: Windows of sizes that a digest can name.
 WINDOWS = 64
-_COLUMNS = 1 << 12
+_COLUMNS = 1 << 10
+_ROWS = 128
 
 
 class PartPlan:
@@ -184,22 +186,41 @@ def _inside(a: list[np.ndarray], b: list[np.ndarray], common: np.ndarray | None
     fa, fb = np.concatenate(a), np.concatenate(b)
     common = np.intersect1d(fa, fb) if common is None else common
     out = np.zeros((len(a), len(b)), np.float32)
-    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    left, right = _places(a, fa, common), _places(b, fb, common)
     for lo in range(0, len(common), _COLUMNS):
-        cols, sides = common[lo : lo + _COLUMNS], []
-        for flat, rows, count in ((fa, ra, len(a)), (fb, rb, len(b))):
-            at = np.minimum(np.searchsorted(cols, flat), len(cols) - 1)
-            hit = cols[at] == flat
-            m = np.zeros((count, len(cols)), np.float32)
-            m[rows[hit], at[hit]] = 1
+        width, sides = min(_COLUMNS, len(common) - lo), []
+        for at, rows, count in ((*left, len(a)), (*right, len(b))):
+            i, j = np.searchsorted(at, (lo, lo + width))
+            m = np.zeros((count, width), np.float32)
+            m[rows[i:j], at[i:j] - lo] = 1
             sides.append(m)
         out += sides[0] @ sides[1].T
-    return out.astype(np.int64)
+    return out
+
+
+def _places(sets: list[np.ndarray], flat: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place in ``common`` of each shingle of the sets that it holds, in order, and the set's number."""
+    if not len(common):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+    hit = np.flatnonzero(common[at] == flat)
+    at = at[hit].astype(np.int32)
+    order = np.argsort(at, kind="stable")
+    return at[order], np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[hit[order]]
 
 
 def _linked(a: list[np.ndarray], b: list[np.ndarray], percent: int, common: np.ndarray | None = None) -> np.ndarray:
-    both = _inside(a, b, common)
-    return 100 * both >= percent * (np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both)
+    both, links = _inside(a, b, common), np.zeros((len(a), len(b)), bool)
+    na, nb = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
+    for rows in _blocks(len(a)):
+        k = both[rows].astype(np.int64)
+        links[rows] = 100 * k >= percent * (na[rows] + nb - k)
+    return links
+
+
+def _blocks(n: int):
+    """Rows of a matrix that are widened to whole numbers together."""
+    return (slice(lo, lo + _ROWS) for lo in range(0, n, _ROWS))
 
 
 def _probe(queries: list[np.ndarray], members: list[np.ndarray], union: np.ndarray, percent: int) -> np.ndarray:
@@ -234,12 +255,14 @@ def _roots(links: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     left, right = np.arange(na), np.arange(nb) + (0 if same else na)
     big = na + nb
     while True:
-        r = np.minimum(right, np.where(links, left[:, None], big).min(axis=0))
+        r = right
+        for rows in _blocks(na):
+            r = np.minimum(r, np.where(links[rows], left[rows][:, None], big).min(axis=0))
         if same:
             r = np.minimum(r, r[r])
             done, left, right = np.array_equal(r, right), r, r
         else:
-            new = np.minimum(left, np.where(links, r[None, :], big).min(axis=1))
+            new = np.concatenate([np.minimum(left[rows], np.where(links[rows], r[None, :], big).min(axis=1)) for rows in _blocks(na)])
             done, left, right = np.array_equal(r, right) and np.array_equal(new, left), new, r
         if done:
             return left, right
@@ -254,7 +277,7 @@ def _compare(percent: int):
     def run(batches):
         for batch in batches:
             keys, counts, roots = [], [], []
-            for row in batch.to_pylist():
+            for row in (x for one in slices([batch], 1) for x in one.to_pylist()):
                 same = row["queries"] is None
                 kb, mb, sb = load(row["members"])
                 ka, ma, sa = (kb, mb, sb) if same else load(row["queries"])
@@ -347,12 +370,12 @@ class _Join:
         texts = base.select(F.coalesce("doc_id", F.lit(-1)).alias("wanted_id"), F.col("h").alias("wanted_h"), "text")
         with arrow_rows(spark, 1000):
             run, schema = _tokens_of(n)
-            tokens = join_by_size(texts, wanted, ["wanted_id", "wanted_h"], "inner", 48).select("key", "grp", "mult", "text").mapInArrow(run, schema)
+            tokens = join_by_size(texts, wanted, ["wanted_id", "wanted_h"], "inner", 48).select("key", "grp", "mult", "text").mapInArrow(released(run), schema)
             tokens = tokens.repartition(F.col("grp"))  # both aggregations below keep it
             tokens = tokens.groupBy("grp", "key").agg(F.first("mult").alias("mult"), F.first("tokens").alias("tokens"))
             members = self.scratch.table(tokens.groupBy("grp").agg(F.collect_list(F.struct("key", "mult", "tokens")).alias("members")), "sets")
         with arrow_rows(spark, 4):
-            matrix = self.scratch.table(members.mapInArrow(_unions, f"grp bigint, members {_MEMBERS}, token_union binary"), "matrix")
+            matrix = self.scratch.table(members.mapInArrow(released(_unions), f"grp bigint, members {_MEMBERS}, token_union binary"), "matrix")
         self.scratch.drop("sets")
         return matrix
 
@@ -372,7 +395,7 @@ class _Join:
     def _compared(self, work: DataFrame, name: str) -> DataFrame:
         with arrow_rows(work.sparkSession, 2):
             run, schema = _compare(self.percent)
-            return self.scratch.table(work.mapInArrow(run, schema), name)
+            return self.scratch.table(work.mapInArrow(released(run), schema), name)
 
     def to_neighbours(self, open_seats: DataFrame) -> DataFrame:
         """``key, n, grp``: two classes of each component of several in a group ask the group before it in a bucket."""
@@ -427,7 +450,7 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
     with arrow_rows(spark, 1000):
         run, schema = _keyed(n, percent)
-        keyed = scratch.table(base.select("doc_id", "h", "text").mapInArrow(run, schema), "keyed")
+        keyed = scratch.table(base.select("doc_id", "h", "text").mapInArrow(released(run), schema), "keyed")
     rows = scratch.table(keyed.select("doc_id", "h", "n_shingles", "key"), "rows")
     # classes of equal sets; struct order puts null ids last
     own = rows.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "h")).alias("rep"), F.min("n_shingles").alias("n"), F.count("*").alias("mult"))

@@ -261,10 +261,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, cap: Capacity = Capacity
     scratch = Scratch(spark, "packing")
     run, schema = _pieces(tokenizer, cap.tokens, end)
     with arrow_rows(spark, 2000):
-        pieces = scratch.table(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema), "pieces")
+        pieces = scratch.table(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), schema), "pieces")
     blocks = max(1, -(-pieces.count() // BLOCK_PIECES))
     run, schema = _packer(cap)
-    return pieces.repartition(blocks).mapInArrow(run, schema)
+    return pieces.repartition(blocks).mapInArrow(released(run), schema)
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:

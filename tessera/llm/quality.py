@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import labelled
-from tessera.llm.batches import slices, texts
+from tessera.llm.batches import released, slices, texts
 
 _STEP, _HALF = 4, 128  # bytes between filter positions, and in half a chunk
 #: Bytes that run through the network at once.
@@ -206,7 +206,7 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
     labels of both classes all texts count as good.
     """
     run, schema = _scorer(docs.sparkSession.sparkContext.broadcast(model))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), schema)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -217,7 +217,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
         for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.scores(texts(batch)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

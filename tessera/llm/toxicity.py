@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import labelled
-from tessera.llm.batches import slices, texts
+from tessera.llm.batches import released, slices, texts
 from tessera.llm.shingles import mix
 
 _U = np.uint64
@@ -213,7 +213,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     all scores are low.
     """
     run, schema = _scorer(docs.sparkSession.sparkContext.broadcast(model))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), schema)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -224,7 +224,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.scores(texts(batch)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
