@@ -97,3 +97,34 @@ def test_validator_finds_faults(spark):
 def test_merge_without_scorer(spark):
     s = spark.createDataFrame([("a", "b", 0.4)], "sid string, eid string, score double")
     assert decide.merge_scores(s, None) is s
+
+
+def _small_sets(spark, seed=3):
+    r = random.Random(seed)
+    rows = [(str(i), [str(x) for x in {r.randint(0, 40) for _ in range(12)}]) for i in range(80)]
+    rows += [(f"c{i}", rows[i % 5][1]) for i in range(20)] + [("e", [])]
+    return rows, spark.createDataFrame(rows, "eid string, sh array<string>")
+
+
+def test_joins_over_blocks_and_copies(spark, monkeypatch):
+    """Blocks of the right side, equal sets and a bounded list give the pairs of all comparisons, candidates not being shuffled."""
+    monkeypatch.setattr(lsh, "BLOCK_VALUES", 200)
+    rows, df = _small_sets(spark)
+    left = df.withColumnRenamed("eid", "sid")
+    found = lsh.exact_join(left, df, 0.4)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString() and "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+    score = {(a, b): round(len(set(s) & set(t)) / len(set(s) | set(t)), 6) for a, s in rows for b, t in rows if s and t}
+    assert {(x["sid"], x["eid"]): x["score"] for x in found.collect()} == {p: v for p, v in score.items() if v >= 0.4}
+    best = {a: sorted((-v, b) for (x, b), v in score.items() if x == a and v >= 0.4)[:7] for a, _ in rows}
+    got = {(x["sid"], x["eid"], x["rank"]) for x in lsh.exact_join(left, df, 0.4, 7).collect()}
+    assert got == {(a, b, i + 1) for a, bs in best.items() for i, (_, b) in enumerate(bs)}
+
+
+def test_lsh_pairs_share_a_band(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "BLOCK_VALUES", 500)
+    rows, df = _small_sets(spark)
+    sig = {r["eid"]: r["s"] for r in df.where(F.size("sh") > 0).select("eid", lsh.signature(F.col("sh"), 16).alias("s")).collect()}
+    score = {(a, b): round(len(set(s) & set(t)) / len(set(s) | set(t)), 6) for a, s in rows for b, t in rows if s and t}
+    want = {(a, b) for (a, b), v in score.items() if v >= 0.4 and any(sig[a][k : k + 2] == sig[b][k : k + 2] for k in range(0, 16, 2))}
+    got = {(x["sid"], x["eid"]) for x in lsh.lsh_join(df.withColumnRenamed("eid", "sid"), df, 0.4, None, 16, 2).collect()}
+    assert got == want and len(want) < sum(v >= 0.4 for v in score.values())
