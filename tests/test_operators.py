@@ -129,3 +129,24 @@ def test_lsh_pairs_share_a_band(spark, monkeypatch):
     want = {(a, b) for (a, b), v in score.items() if v >= 0.4 and any(sig[a][k : k + 2] == sig[b][k : k + 2] for k in range(0, 16, 2))}
     got = {(x["sid"], x["eid"]) for x in lsh.lsh_join(df.withColumnRenamed("eid", "sid"), df, 0.4, None, 16, 2).collect()}
     assert got == want and len(want) < sum(v >= 0.4 for v in score.values())
+
+
+def test_candidates_send_lists_and_keep_ties(spark, monkeypatch):
+    """Posting lists of several rows, repeated and equal records, and more partners than the cap; pairs are not shuffled one by one."""
+    monkeypatch.setattr(blocking, "LIST_IDS", 3)
+    r = random.Random(4)
+    rec = lambda i: (i, r.choice(["US", "FR"]), r.sample("abcde", 3), r.sample("pq", 1), r.sample("123", 1))
+    schema = "entity_id string, country string, name_set array<string>, addr_set array<string>, house_set array<string>"
+    s1, pool = [rec(f"s{i}") for i in range(20)], [rec(f"e{i}") for i in range(60)]
+    pool.append(pool[7])
+    want = {}
+    for a in s1:
+        score = {}
+        for b in pool:
+            if a[1] == b[1]:
+                score[b[0]] = score.get(b[0], 0) + 2.0 * len(set(a[2]) & set(b[2])) + 1.2 * len(set(a[3]) & set(b[3])) + 8.0 * len(set(a[4]) & set(b[4]))
+        best = sorted((-round(v, 6), e) for e, v in score.items() if v)
+        want |= {(a[0], e): (-v, k + 1, len(best) > 9) for k, (v, e) in enumerate(best[:9])}
+    found = blocking.candidates(spark.createDataFrame(s1, schema), spark.createDataFrame(pool, schema), None, 9, 1000)
+    assert {(x["sid"], x["eid"]): (x["score"], x["rank"], x["capped"]) for x in found.collect()} == want
+    assert "Window" not in found._jdf.queryExecution().toString()
