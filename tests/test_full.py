@@ -82,3 +82,10 @@ def test_full_models_use_all_features_and_rounds(spark):
     for rows in (lr(spark, SMALL).collect(), gbt(spark, SMALL, rounds=2, depth=3).collect()):
         score = {k: [r["score"] for r in rows if r["label"] == k] for k in (0, 1)}
         assert sum(score[1]) / len(score[1]) > sum(score[0]) / len(score[0]) + 0.3
+
+
+def test_scores_in_rounds_equal_those_at_once(spark, run, monkeypatch):
+    monkeypatch.setattr(Full, "rounds", lambda self: 3)
+    parts = Full(spark, SMALL)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(parts.scored) == rows(run.scored) and len(parts.scored.inputFiles()) >= 3
