@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import released, ROWS, texts
+from tessera.llm.batches import ROWS, released, texts
 from tessera.llm.shingles import mix, word_hashes
 
 WINDOW = 10

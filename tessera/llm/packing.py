@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import released
 from tessera.runtime import Scratch, arrow_rows
 
 TOKENIZER = "word_bpe_49k.json"
