@@ -1,5 +1,7 @@
 """Scratch tables, size-checked joins, and plans that read no more than they need."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +25,13 @@ def test_scratch(spark):
         spark.read.parquet(s.path("a"))
 
 
+def test_scratch_has_no_checksum_files(spark):
+    s = runtime.Scratch(spark, "test")
+    t = s.table(spark.range(0, 400, 1, 8).toDF("x"), "a")
+    names = os.listdir(s.path("a").removeprefix("file:"))
+    assert t.count() == 400 and sum(n.endswith(".parquet") for n in names) == 8 and not [n for n in names if n.endswith(".crc")]
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Spark:
         class sparkContext:
