@@ -89,3 +89,10 @@ def test_scores_in_rounds_equal_those_at_once(spark, run, monkeypatch):
     parts = Full(spark, SMALL)
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(parts.scored) == rows(run.scored) and len(parts.scored.inputFiles()) >= 3
+
+
+def test_pairs_meet_sums_of_their_records(run):
+    left, right = FE.sides(run.s1_pre, run.pool_pre, run.idf, FE.name_frequency(run.s1_pre))
+    assert {"a_sum", "a_norm", "a_sound"} <= set(left.columns) and "b_name_w" not in right.columns and dict(right.dtypes)["b_grams"] == "array<bigint>"
+    pairs = run.candidates.select("sid", "eid")
+    assert FE.compared(pairs, left, right).columns == ["sid", "eid", *FE.FEATURES]

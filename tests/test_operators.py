@@ -150,3 +150,14 @@ def test_candidates_send_lists_and_keep_ties(spark, monkeypatch):
     found = blocking.candidates(spark.createDataFrame(s1, schema), spark.createDataFrame(pool, schema), None, 9, 1000)
     assert {(x["sid"], x["eid"]): (x["score"], x["rank"], x["capped"]) for x in found.collect()} == want
     assert "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_decide_reads_scores_once(spark, tmp_path):
+    rows = [("a", "x", 0.9), ("a", "y", 0.82), ("a", "z", 0.82), ("b", "x", 0.72), ("b", "y", 0.71), ("c", "x", 0.75), ("d", "x", 0.75), ("e", "x", 0.4)]
+    spark.createDataFrame(rows, "sid string, eid string, score double").write.parquet(str(tmp_path / "scores"))
+    scores = spark.read.parquet(str(tmp_path / "scores"))
+    entities = spark.createDataFrame([("a", "US"), ("b", "US"), ("c", "France"), ("d", "US"), ("e", "US")], "sid string, country string")
+    got = decide.decide(entities, scores, 50, 70)
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(map(tuple, got.collect())) == [("a", "x", 0.9, 1), ("a", "y", 0.82, 2), ("a", "z", 0.82, 3), ("d", "x", 0.75, 1)]
+    assert {r["sid"]: r["gap"] and round(r["gap"], 6) for r in decide.entity_stats(scores).collect()} == {"a": 0.08, "b": 0.01, "c": None, "d": None, "e": None}
