@@ -313,7 +313,7 @@ class _Join:
         return F.col(parts) * sides >= F.element_at(shares, (F.col("window") + 1).cast("int"))
 
     def shared_parts(self, keyed: DataFrame) -> DataFrame:
-        """``home, last, window, key, parts``: how many parts a class shares with others, by the least and the greatest class that have them.
+        """``home, last, window, key, parts``: how many parts of a round a class shares with others, by the least and the greatest class that have them.
 
         The two ends of a part are a grouped aggregate, which absorbs parts of very many classes before the shuffle.
         """
@@ -326,19 +326,18 @@ class _Join:
         shared = found[0]
         for more in found[1:]:
             shared = shared.unionByName(more)
-        shared = self.scratch.table(shared.groupBy(*by).agg(F.sum("parts").alias("parts")), "shared")
-        for r in range(ROUNDS):
-            self.scratch.drop(f"shared{r}")
         return shared
 
     def members(self, shared: DataFrame) -> DataFrame:
         """``bucket, home, window, key, parts``: classes that share enough parts of a window, and with whom."""
-        enough = shared.groupBy("key", "window").agg(F.sum("parts").alias("all_parts")).where(self.enough("all_parts")).select("key", "window")
-        kept = shared.join(enough, ["key", "window"], "left_semi").select(F.xxhash64("home", "last", "window").alias("bucket"), "home", "window", "key", "parts")
-        kept = self.scratch.table(kept, "kept")
+        shared = shared.repartition("key", "window")  # the aggregation and the window below keep it
+        shared = shared.groupBy("home", "last", "window", "key").agg(F.sum("parts").alias("parts"))
+        kept = shared.withColumn("all_parts", F.sum("parts").over(Window.partitionBy("key", "window"))).where(self.enough("all_parts"))
+        kept = self.scratch.table(kept.select(F.xxhash64("home", "last", "window").alias("bucket"), "home", "window", "key", "parts"), "kept")
+        for r in range(ROUNDS):
+            self.scratch.drop(f"shared{r}")
         alive = kept.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket")
         members = self.scratch.table(kept.join(alive, "bucket", "left_semi"), "members")
-        self.scratch.drop("shared")
         self.scratch.drop("kept")
         return members
 
@@ -357,7 +356,7 @@ class _Join:
 
     def seats(self, members: DataFrame, grouped: DataFrame) -> DataFrame:
         """``bucket, window, key, parts, n, grp``: classes in buckets of several groups. Buckets of the same groups are one."""
-        seats = members.select("bucket", "window", "key", "parts").join(grouped.select("key", "n", "grp"), "key")
+        seats = join_by_size(members.select("bucket", "window", "key", "parts"), grouped.select("key", "n", "grp"), ["key"], "inner", 24)
         mark = seats.select("bucket", "grp").distinct().groupBy("bucket").agg(F.count("*").alias("groups"), F.expr("bit_xor(xxhash64(grp))").alias("mark"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
         mark = mark.where("groups > 1").select("bucket", F.xxhash64("groups", "mark", "lo", "hi").alias("several"))
         seats = seats.join(mark, "bucket").groupBy(F.col("several").alias("bucket"), "window", "key").agg(F.sum("parts").alias("parts"), F.first("n").alias("n"), F.first("grp").alias("grp"))
@@ -387,10 +386,12 @@ class _Join:
     def answers(self, asks: DataFrame, matrix: DataFrame, name: str) -> DataFrame:
         """``key, links, root`` of classes linked across groups, for ``asks`` of classes (key, n) to groups (grp)."""
         slices = asks.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / GROUP_CLASSES), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("slices"))
-        asks = asks.join(slices, "grp").select("key", "grp", F.pmod(F.xxhash64("key"), F.col("slices")).alias("slice"))
+        asks = self.scratch.table(asks.join(slices, "grp").select("key", "grp", F.pmod(F.xxhash64("key"), F.col("slices")).alias("slice")), f"{name}-slices")
         one = matrix.select(F.explode("members").alias("m")).select("m.key", F.col("m").alias("member"))
-        queries = asks.join(one, "key").groupBy("grp", "slice").agg(F.collect_list("member").alias("queries"))
-        return self._compared(queries.join(matrix, "grp").select("members", "queries", "token_union"), name)
+        queries = join_by_size(one, asks, ["key"], "inner", 32).groupBy("grp", "slice").agg(F.collect_list("member").alias("queries"))
+        compared = self._compared(queries.join(matrix, "grp").select("members", "queries", "token_union"), name)
+        self.scratch.drop(f"{name}-slices")
+        return compared
 
     def _compared(self, work: DataFrame, name: str) -> DataFrame:
         with arrow_rows(work.sparkSession, 2):
@@ -431,7 +432,7 @@ class _Join:
 
     def open_seats(self, seats: DataFrame, component: DataFrame, name: str) -> DataFrame:
         """``seats`` in buckets of several components: their ``component``, the ``main`` one of the bucket and if it holds more than half."""
-        known = seats.join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        known = join_by_size(seats, component, ["key"], "left", 16).withColumn("component", F.coalesce("component", "key"))
         count = known.groupBy("bucket", "component").agg(F.count("*").alias("size"))
         main = count.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("components"), F.sum("size").alias("all")).where("components > 1")
         main = main.select("bucket", "top.component", F.expr("2 * top.size > all").alias("mostly")).withColumnRenamed("component", "main")
@@ -465,7 +466,7 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
     scratch.drop("grouped")
     links = join.within(matrix)
     if count_links:
-        links = links.unionByName(join.answers(join.to_every(seats), matrix, "across"))
+        links = links.unionByName(join.answers(scratch.table(join.to_every(seats), "asks-every"), matrix, "across"))
         component = join.components(links)
     else:
         component = links.select("key", F.col("root").alias("component"))
@@ -483,7 +484,7 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
     # a class whose component has ids keeps the smallest of them, one without any stays null
     id_of = F.when(F.col("component").isNull(), F.col("class_id")).otherwise(F.col("component_id"))
     known = scratch.table(known.select("key", "class_id", F.coalesce("component", "key").alias("component"), id_of.alias("component_id"), "mult", n_links.alias("n_links")), "known")
-    for name in ("matrix", "seats", "classes", "within", "across", "every", "asks-neighbours", "asks-all", "links-neighbours", "links-all", "components-neighbours", "components-all"):
+    for name in ("matrix", "seats", "classes", "within", "across", "every", "asks-every", "asks-neighbours", "asks-all", "links-neighbours", "links-all", "components-neighbours", "components-all"):
         scratch.drop(name)
     return rows, known
 

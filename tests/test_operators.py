@@ -25,6 +25,22 @@ def test_components(spark):
     assert got == {n: find(n) for n in parent}
 
 
+def test_small_components_are_few_jobs(spark, monkeypatch):
+    """A long path and a hub: one task settles them with a few jobs, rounds come to the same."""
+    order = random.Random(3).sample(range(300), 300)
+    edges = [*zip(order, order[1:]), *((1000, 1000 + i) for i in range(50)), (2000, None), (None, 3000)]
+    want = {i: 0 for i in range(300)} | {1000 + i: 1000 for i in range(50)}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for most in (len(edges), 0):
+        monkeypatch.setattr(graph, "ONE_TASK_EDGES", most, raising=False)
+        spark.sparkContext.setJobGroup(f"components-{most}", "")
+        try:
+            assert {x["node"]: x["component"] for x in graph.connected_components(df).collect()} == want
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{len(edges)}")) <= 8
+
+
 def test_components_of_nothing(spark):
     assert graph.connected_components(spark.createDataFrame([(None, 1)], "src long, dst long")).count() == 0
 
