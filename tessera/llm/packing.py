@@ -93,7 +93,7 @@ def _encode_words(tok, ends: np.ndarray, words: list[str]) -> list[bytes | None]
 
 def _encode(tok, ends: np.ndarray, chunks: list[bytes]) -> list[bytes]:
     """The ids of any chunks; those of letters alone go together."""
-    texts = [w.decode() for w in chunks]
+    texts = [w.decode("utf-8", "replace") for w in chunks]  # malformed bytes as U+FFFD
     plain = [i for i, t in enumerate(texts) if t.isalpha()]
     out: list[bytes | None] = [None] * len(chunks)
     for i, x in zip(plain, _encode_words(tok, ends, [texts[i] for i in plain]), strict=True):
@@ -132,7 +132,7 @@ def token_bytes(texts: list[bytes | None] | pa.Array, path: str):
         _IDS[path] = tok, ends, known, old, bare
     if isinstance(texts, list):
         texts = pa.array(texts, pa.large_binary())
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string(), safe=False), "")))
     chunks = words.flatten().dictionary_encode()
     ws = chunks.dictionary.cast(pa.large_binary()).to_pylist()
     ids = list(map(known.get, ws))

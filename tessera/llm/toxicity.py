@@ -46,7 +46,7 @@ def words(text: bytes | None) -> list[bytes]:
 
 def _grams(tokens: list[bytes], cfg: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of the tokens, and each token's first position there (with the end)."""
-    data = [f"<{t.decode().lower().strip(_STRIP)}>".encode("utf-32-le") for t in tokens]
+    data = [f"<{t.decode('utf-8', 'replace').lower().strip(_STRIP)}>".encode("utf-32-le") for t in tokens]  # malformed bytes as U+FFFD
     code = np.frombuffer(b"".join(data), np.uint32).astype(_U)
     sizes = np.array([len(d) // 4 for d in data])
     owner = np.repeat(np.arange(len(tokens)), sizes)
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Mod
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` for every row of ``docs``: the probability of toxicity of its whole text.
 
-    Null, empty and wordless texts get a low score; texts of any length are scored whole. Ids may be null or repeat, and
+    Null, empty and wordless texts get a low score; texts of any length are scored whole, malformed UTF-8 as U+FFFD. Ids may be null or repeat, and
     repeated rows are scored each; other columns are ignored; no rows give no rows. Without labels of both classes
     all scores are low.
     """

@@ -1,7 +1,7 @@
 """Each stage against a plain version, on its own input."""
 
 import corpus_pipeline as P
-from tessera.llm import decontaminate, jaccard_join, quality, toxicity
+from tessera.llm import decontaminate, jaccard_join, packing, quality, toxicity
 from tests.llm.test_jaccard_join import brute
 
 
@@ -47,3 +47,20 @@ def test_no_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_malformed_utf8(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    odd = ["C3", "61FF6220C320776F726473", "EDA0806566672061626364", "68656C6C6FF09F982068656C6C6F"]
+    more = spark.createDataFrame([(10**6 + i, h) for i, h in enumerate(odd)], "doc_id long, h string").selectExpr("doc_id", "cast(unhex(h) as string) text", "'en' lang", "'x' source", "cast(1 as bigint) n_chars")
+    both = docs.unionByName(more.select(docs.columns))
+    model = toxicity.fit([b"foul words here", b"fine words there"] * 20, [1, 0] * 20)
+    assert toxicity.toxicity(both, model).count() == both.count() and toxicity.keep_clean(more, model).count() > 0
+    # their scores and tokens are those of the text with U+FFFD in place of what is malformed
+    plain = spark.createDataFrame([(10**6 + i, bytes.fromhex(h).decode("utf-8", "replace")) for i, h in enumerate(odd)], "doc_id long, text string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(toxicity.toxicity(more, model)) == rows(toxicity.toxicity(plain, model))
+    pieces = lambda df: rows(packing.pack(df).select("doc_id", "piece", "length", "ids_crc32"))
+    assert pieces(more) == pieces(plain)
+    for _, stage in P.STAGES:
+        assert stage(spark, both, sf).count() > 0
