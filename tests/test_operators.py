@@ -1,6 +1,7 @@
 """Joins, ranks, decisions and graphs on small tables against plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,21 @@ def test_decide_reads_scores_once(spark, tmp_path):
     assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert sorted(map(tuple, got.collect())) == [("a", "x", 0.9, 1), ("a", "y", 0.82, 2), ("a", "z", 0.82, 3), ("d", "x", 0.75, 1)]
     assert {r["sid"]: r["gap"] and round(r["gap"], 6) for r in decide.entity_stats(scores).collect()} == {"a": 0.08, "b": 0.01, "c": None, "d": None, "e": None}
+
+
+@pytest.mark.parametrize("pairs", [blocking.CELL_PAIRS, 2])
+def test_hash_key_pairs_are_not_shuffled(spark, monkeypatch, pairs):
+    monkeypatch.setattr(blocking, "CELL_PAIRS", pairs)
+    records = lambda tag, own: spark.createDataFrame(
+        [(i, "US", f"n{k % 2}", [f"n{k % 2}"], [str(k % 3)], "" if k == 4 else f"a{k % 2}", ["main", f"s{k % 2}"], "c" if k % 4 else "") for k, i in enumerate(own)],
+        "entity_id string, country string, name_sq string, name_set array<string>, house_set array<string>, addr_sq string, addr_set array<string>, city string",
+    )
+    for left, right in (([f"a{i}" for i in range(7)], [f"b{i}" for i in range(9)]), (["a", "a", None, None, "d", "e"], ["x", "y", "y", None, "z", None, None, "w"])):
+        s1, pool = records("a", left), records("b", right)
+        keys = [df.select("entity_id", F.explode(F.array_compact("keys")).alias("key")).collect() for df in (blocking.hash_keys(s1, "entity_id"), blocking.hash_keys(pool, "entity_id"))]
+        want = Counter((a["entity_id"], b["entity_id"]) for a in keys[0] for b in keys[1] if a["key"] == b["key"])
+        found = blocking.hash_key_candidates(s1, pool)
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(want) > 9 and {(a, b): n for a, b, n in rows} == want
+        if len(set(left)) == len(left):
+            assert "keys=[sid" not in found._jdf.queryExecution().executedPlan().toString()
