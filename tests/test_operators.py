@@ -196,3 +196,25 @@ def test_hash_key_pairs_are_not_shuffled(spark, monkeypatch, pairs):
         assert len(rows) == len(want) > 9 and {(a, b): n for a, b, n in rows} == want
         if len(set(left)) == len(left):
             assert "keys=[sid" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_sets_are_ranked_where_they_are_found(spark, monkeypatch):
+    """Over several blocks, with equal sets, ties and a record of two sets; records' best are not shuffled to be ranked."""
+    monkeypatch.setattr(lsh, "BLOCK_VALUES", 60)
+    monkeypatch.setattr(lsh, "_LEFT_ROWS", 5)
+    r = random.Random(8)
+    sets = [sorted(r.sample("abcdefgh", r.randint(2, 5))) for _ in range(12)]
+    right = [(f"e{i}", sets[i % 12]) for i in range(60)]
+    df = spark.createDataFrame(right, "eid string, sh array<string>")
+    for names in ([f"s{i}" for i in range(16)], ["s0", "s0", *[f"s{i}" for i in range(2, 16)]]):
+        left = [(s, sets[i % 9]) for i, s in enumerate(names)]
+        found = lsh.lsh_join(spark.createDataFrame(left, "sid string, sh array<string>"), df, 0.4, 6, 64, 1)
+        near = lambda a, b: round(len({*a} & {*b}) / len({*a} | {*b}), 6)
+        best: dict = {}
+        for s, a in left:
+            best.setdefault(s, []).extend((-near(a, b), e) for e, b in right if near(a, b) >= 0.4)
+        want = sorted((s, e, -x, k + 1) for s, es in best.items() for k, (x, e) in enumerate(sorted(es)[:6]))
+        got = sorted((x["sid"], x["eid"], x["score"], x["rank"]) for x in found.collect())
+        assert got == want
+        if len(set(names)) == 16:
+            assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
